@@ -19,6 +19,8 @@ import unicodedata
 
 import numpy as np
 
+from .words import IntTable, span_hashes
+
 END = 256
 #: Symbols a lane of the lockstep run reads.
 CHUNK = 512
@@ -63,51 +65,6 @@ def _classes() -> np.ndarray:
     return out
 
 
-class IntTable:
-    """Open-addressing map from int64 keys to int32 values, looked up in whole arrays."""
-
-    def __init__(self, slots: int = 1 << 16):
-        self.keys, self.values, self.filled = np.full(slots, -1, np.int64), np.zeros(slots, np.int32), 0
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.int64(-7046029254386353131)) >> np.int64(20)) & np.int64(len(self.keys) - 1)
-
-    def insert(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Distinct keys that are not there yet."""
-        if (self.filled + len(keys)) * 3 > len(self.keys):
-            old = self.keys >= 0
-            k, v, slots = self.keys[old], self.values[old], len(self.keys)
-            while (self.filled + len(keys)) * 3 > slots:
-                slots *= 2
-            self.__init__(slots)
-            self.insert(k, v)
-        self.filled += len(keys)
-        at, todo = self._slot(keys), np.arange(len(keys))
-        while len(todo):
-            free = todo[self.keys[at[todo]] < 0]
-            self.keys[at[free]] = keys[free]  # of several that want one slot the last gets it
-            won = self.keys[at[todo]] == keys[todo]
-            self.values[at[todo[won]]] = values[todo[won]]
-            todo = todo[~won]
-            at[todo] = (at[todo] + 1) & (len(self.keys) - 1)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(values, places of the keys that are missing)."""
-        at = self._slot(keys)
-        found, out = self.keys[at], self.values[at]
-        bad, missing = np.flatnonzero(found != keys), []
-        while len(bad):
-            gone = found[bad] < 0
-            if gone.any():
-                missing.append(bad[gone])
-                bad = bad[~gone]
-            at[bad] = (at[bad] + 1) & (len(self.keys) - 1)
-            found[bad] = self.keys[at[bad]]
-            out[bad] = self.values[at[bad]]
-            bad = bad[found[bad] != keys[bad]]
-        return out, np.concatenate(missing) if missing else bad
-
-
 class Words:
     """Splits texts into the tokenizer's words and knows each distinct word by a 63-bit hash."""
 
@@ -121,9 +78,6 @@ class Words:
             raise ValueError("a word-level BPE file with the end mark </w> is needed")
         self.letters = _byte_letters()
         self.classes = _classes()
-        rng = np.random.default_rng(20240229)
-        self.by_byte = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-        self.by_place = rng.integers(1, 1 << 63, 4096, dtype=np.uint64) | np.uint64(1)
 
     def words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and end byte of each word of normalised UTF-8 bytes."""
@@ -183,25 +137,6 @@ class Words:
         each = np.diff(np.append(np.searchsorted(starts, begins), len(starts)))
         return data, starts, ends, np.repeat(np.arange(len(texts)), each), own
 
-    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hash of each word's bytes and length."""
-        if not len(starts):
-            return np.zeros(0, np.int64)
-        lengths = ends - starts
-        done = np.cumsum(lengths)
-        shift = np.repeat((starts - done + lengths).astype(np.int32), lengths)
-        count = np.arange(int(done[-1]), dtype=np.int32)
-        place = count - np.repeat((done - lengths).astype(np.int32), lengths)
-        mixed = self.by_byte[data[shift + count]] * self.by_place[place & 4095]
-        if len(lengths) and lengths.max() > 4096:  # a very long word: the block number counts too
-            mixed ^= (place >> 12).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) * mixed
-        h = np.add.reduceat(mixed, np.cumsum(lengths) - lengths)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h += lengths.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(32)
-        return (h >> np.uint64(1)).astype(np.int64)
-
 
 class Encoder(Words):
     """Token ids of whole texts."""
@@ -236,7 +171,7 @@ class Encoder(Words):
         if len(starts):
             if self.known > self.most_words:
                 self._clear()
-            keys = self.hashes(data, starts, ends)
+            keys = span_hashes(data, starts, ends)
             word, missing = self.table.find(keys)
             if len(missing):
                 new, first = np.unique(keys[missing], return_index=True)
@@ -500,7 +435,7 @@ class Transducer(Words):
         if len(starts):
             if self.seen.filled > self.most_words:
                 self.seen = IntTable()
-            keys = self.hashes(data, starts, ends)
+            keys = span_hashes(data, starts, ends)
             n, missing = self.seen.find(keys)
             if len(missing):
                 new, first = np.unique(keys[missing], return_index=True)
