@@ -57,7 +57,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1, vocabulary: s
             start += int(done[-1])
 
     rows = docs.select(doc_id_of(docs).alias("doc_id"), text_of(docs).alias("text"))
-    ordered = rows.repartitionByRange(parallelism(docs.sparkSession), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange(parallelism(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     (
         ordered.mapInArrow(run, FILE)
         .write.option("compression", "zstd")
