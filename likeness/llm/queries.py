@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import documents
 from .line_dedup import line_dedup
 from .packing import best_fit_packing
+from .quality_rules import quality_rules
 from .token_counts import token_counts
 from .token_files import token_id_round_trip
 
@@ -40,6 +41,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(documents(spark, sf_dir), capacity=4096, end_id=1)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), limit=2048)
 
@@ -49,7 +54,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op7_token_counts, op10_token_files)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_quality_rules, op7_token_counts, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
