@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import documents
 from .line_dedup import line_dedup
 from .packing import best_fit_packing
+from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .token_counts import token_counts
 from .token_files import token_id_round_trip
@@ -45,6 +46,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), limit=2048)
 
@@ -54,7 +59,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_quality_rules, op7_token_counts, op10_token_files)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_quality_rules, op6_quality_classifier, op7_token_counts, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
