@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import documents
+from . import license_scan
 from .line_dedup import line_dedup
 from .packing import best_fit_packing
 from .quality_classifier import quality_classifier
@@ -46,6 +47,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(documents(spark, sf_dir))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
 
@@ -59,8 +64,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_quality_rules, op6_quality_classifier, op7_token_counts, op10_token_files)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_quality_rules, op4_license_scan, op6_quality_classifier, op7_token_counts, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op4_license_scan": license_scan.oracle()}
