@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import documents
 from . import license_scan
 from .line_dedup import line_dedup
+from .near_dedup import near_dedup
 from .packing import best_fit_packing
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
@@ -59,12 +60,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), limit=2048)
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir), similarity=0.8)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_round_trip(documents(spark, sf_dir), end_id=1)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_quality_rules, op4_license_scan, op6_quality_classifier, op7_token_counts, op10_token_files)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_quality_rules, op4_license_scan, op6_quality_classifier, op7_token_counts, op8_minhash_near_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
