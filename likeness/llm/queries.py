@@ -13,6 +13,7 @@ from .near_dedup import near_dedup
 from .packing import best_fit_packing
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
+from .suffix_dedup import substring_dedup
 from .token_counts import token_counts
 from .token_files import token_id_round_trip
 
@@ -64,12 +65,16 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir), similarity=0.8)
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir), threshold=400)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_round_trip(documents(spark, sf_dir), end_id=1)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_quality_rules, op4_license_scan, op6_quality_classifier, op7_token_counts, op8_minhash_near_dedup, op10_token_files)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_quality_rules, op4_license_scan, op6_quality_classifier, op7_token_counts, op8_minhash_near_dedup, op9_suffix_array_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
