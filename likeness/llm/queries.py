@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._common import documents
 from . import license_scan
+from .decontamination import contaminated
 from .line_dedup import line_dedup
 from .near_dedup import near_dedup
 from .packing import best_fit_packing
@@ -53,6 +54,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(documents(spark, sf_dir))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
 
@@ -74,7 +79,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_quality_rules, op4_license_scan, op6_quality_classifier, op7_token_counts, op8_minhash_near_dedup, op9_suffix_array_dedup, op10_token_files)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_quality_rules, op4_license_scan, op5_benchmark_decontamination, op6_quality_classifier, op7_token_counts, op8_minhash_near_dedup, op9_suffix_array_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
