@@ -2,68 +2,25 @@
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship as ship_package
+from ..storage import drop_stored, shared_dir, stored  # noqa: F401
+
 #: Text handled at once inside a Python worker; a longer single text is its own slice.
 SLICE_BYTES = 1 << 20
 #: Rows of one Arrow batch sent to a Python worker.
 BATCH_ROWS = 1000
 
-_shipped: set[str] = set()
-
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the Python workers and keep Arrow batches small."""
-    sc = spark.sparkContext
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    target = Path(tempfile.mkdtemp(prefix="likeness-")).resolve() / "likeness_pkg.zip"
-    target.write_bytes(buffer.getvalue())
-    sc.addPyFile(str(target))
-    _shipped.add(sc.applicationId)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), f"likeness-{spark.sparkContext.applicationId}")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage for good."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._likeness_path = path
-    return out
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Delete a table of ``stored`` that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._likeness_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    ship_package(spark)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

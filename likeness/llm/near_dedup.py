@@ -5,11 +5,12 @@ case; a text of fewer words is one shingle). Texts of equal words are one vertex
 a band key are candidates; each pair is verified by the exact Jaccard similarity of the sets, and the
 classes are the connected components of the verified links.
 
-No bucket is expanded into all its pairs. In every round the smallest vertex of a bucket is its pivot
-and only (pivot, member) pairs are compared; the pivot then leaves the bucket, members that belong to
-one class already are not compared with each other, and a bucket whose rest is one class is done. The
-rounds go on until all buckets are done, so no link between different texts that share a bucket is
-left out unless both ends are in one class anyway. Pivots with many members are salted.
+No bucket is expanded into a table of all its pairs. First each bucket's members are compared with its
+pivot only, the member that shares most buckets with others; pivots with many members are salted.
+The pivot then leaves the bucket. Buckets whose rest is of one class are done; the others, which are
+few, are compared in blocks: every two blocks of a bucket meet in one task, which computes all their
+similarities at once and returns no more links than it has members. So every two texts that share a
+bucket are compared unless they are in one class already, and no link between classes is left out.
 
 Null or empty texts (no word) are never near-duplicates: each such row is its own class with a null
 class_id. Otherwise class_id is the smallest doc_id of the class (null if all its ids are null).
@@ -24,13 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ._common import doc_id_of, parallelism, ship, stored, text_of, text_slices
-from .components import components
 from .dart_minhash import band_keys, cells, jaccard, shingles, signatures
 
 SIMILARITY = 0.8
 #: Members of a pivot compared by one task.
 MEMBERS_PER_TASK = 2_000
+#: Members of a block; two blocks meet in one task.
+BLOCK_MEMBERS = 128
 _NULL_ID = -(1 << 63)
 
 _SPACE_WORDS = "doc_id long, id_key long, text_hash long, vertex binary, bands array<long>"
@@ -91,59 +94,97 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return rows.select("pivot", "part", "role", "vertex", "text").mapInArrow(run, "pivot binary, vertex binary")
 
 
-def _pivot_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((pivot, vertex) pairs of one round, buckets without their pivots); buckets: key, vertex, class."""
-    first = buckets.groupBy("key").agg(F.min(F.struct("vertex", "class")).alias("first")).select("key", F.col("first.vertex").alias("pivot"), F.col("first.class").alias("pivot_class"))
-    rest = buckets.join(first, "key").where(F.col("vertex") != F.col("pivot"))
-    pairs = rest.where(F.col("class") != F.col("pivot_class")).select("pivot", "vertex").distinct()
-    return pairs, rest.select("key", "vertex", "class")
+def _pivot_pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((pivot, vertex) pairs, buckets (key, vertex) without their pivots)."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(keyed.join(sizes, "key"), "near-buckets")
+    degree = shared.groupBy("vertex").agg(F.sum("n").alias("degree"))
+    ranked = shared.select("key", "vertex").join(degree, "vertex")
+    first = ranked.groupBy("key").agg(F.max(F.struct("degree", "vertex"))["vertex"].alias("pivot"))
+    rest = stored(shared.select("key", "vertex").join(first, "key").where(F.col("vertex") != F.col("pivot")), "near-members")
+    return rest.select("pivot", "vertex").distinct(), rest.select("key", "vertex")
 
 
-def _several_classes(buckets: DataFrame) -> DataFrame:
-    """The rows of buckets whose members are of more than one class."""
-    open_keys = buckets.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
-    return buckets.join(open_keys, "key")
+def _open_buckets(rest: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, vertex, class, n of the buckets whose members are of more than one class, equal buckets once."""
+    named = classes.select(F.col("vertex").alias("named"), "component")
+    rows = rest.join(named, F.col("vertex") == F.col("named"), "left").select("key", "vertex", F.coalesce("component", "vertex").alias("class"))
+    h = F.xxhash64("vertex")
+    per_key = rows.groupBy("key").agg(
+        F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 16)).alias("s")
+    )
+    once = per_key.where("lo <> hi").groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key", "n")
+    return rows.join(once, "key")
+
+
+def _block_links(buckets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (pivot, vertex) between the classes of each bucket."""
+    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    rows = buckets.select("key", "vertex", "class", blocks.alias("blocks"), F.pmod(F.xxhash64("vertex"), blocks).cast("int").alias("own"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", "vertex", "class", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).join(texts, "vertex")
+
+    def compare(frame):
+        import pandas as pd
+
+        classes = np.unique(frame["class"].to_numpy(), return_inverse=True)[1]
+        vertices, out = frame["vertex"].tolist(), []
+        if classes.any():
+            hashes, doc = shingles(frame["text"].tolist())
+            hashes, doc = cells(hashes, doc, counted=False)
+            shared = _shared_counts(hashes, doc, len(frame))
+            size = np.diag(shared)
+            alike = shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-9
+            alike &= classes[:, None] < classes[None, :]
+            if frame["a"].iloc[0] != frame["b"].iloc[0]:
+                own = frame["own"].to_numpy()
+                alike &= own[:, None] != own[None, :]
+            group = np.arange(classes.max() + 1)
+            for i, j in zip(*np.nonzero(alike), strict=True):
+                x, y = group[classes[i]], group[classes[j]]
+                if x != y:
+                    group[group == y] = x
+                    out.append((vertices[i], vertices[j]))
+        return pd.DataFrame(out, columns=["pivot", "vertex"])
+
+    return rows.groupBy("key", "a", "b").applyInPandas(compare, "pivot binary, vertex binary")
+
+
+def _shared_counts(hashes: np.ndarray, doc: np.ndarray, n: int, width: int = 8192) -> np.ndarray:
+    """Number of elements that every two of n sets share; the diagonal has their sizes."""
+    element = np.unique(hashes, return_inverse=True)[1]
+    order = np.argsort(element, kind="stable")
+    element, doc = element[order], doc[order]
+    out = np.zeros((n, n))
+    for at in range(0, int(element[-1]) + 1 if len(element) else 0, width):
+        lo, hi = np.searchsorted(element, [at, at + width])
+        held = np.zeros((n, width), np.float32)
+        held[doc[lo:hi], element[lo:hi] - at] = 1
+        out += held @ held.T
+    return out
 
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """A stored table of doc_id, id_key, text_hash, vertex, class (a vertex; null without words)."""
+    """doc_id, id_key, text_hash, vertex, class (a vertex; null without words) of every row."""
     ship(docs.sparkSession)
     sketches = stored(_sketches(docs), "near-sketches")
-    words = sketches.where("vertex IS NOT NULL")
-    vertices = words.groupBy("vertex").agg(F.first("bands").alias("bands"), F.min(F.struct("id_key", "text_hash")).alias("row"))
-    keyed = vertices.select("vertex", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = stored(keyed.join(shared, "key").select("key", "vertex", F.col("vertex").alias("class")), "near-buckets")
-    wanted = buckets.select("vertex").distinct().join(vertices.select("vertex", "row.id_key", "row.text_hash"), "vertex")
-    rows = _identified(docs).select("id_key", "text_hash", "text").join(wanted, ["id_key", "text_hash"])
+    vertices = sketches.where("vertex IS NOT NULL").groupBy("vertex").agg(F.first("bands").alias("bands"), F.min(F.struct("id_key", "text_hash")).alias("row"))
+    pairs, rest = _pivot_pairs(vertices.select("vertex", F.explode("bands").alias("key")))
+    pairs = stored(pairs, "near-pairs")
+    wanted = pairs.select("vertex").unionByName(pairs.select(F.col("pivot").alias("vertex"))).distinct()
+    wanted = wanted.join(vertices.select("vertex", "row.id_key", "row.text_hash"), "vertex")
     # copies of one row would give its vertex more than once
-    texts = rows.dropDuplicates(["id_key", "text_hash"]).select("vertex", "text")
-    links = None
-    while True:
-        pairs, rest = _pivot_pairs(buckets)
-        found = stored(_verified(pairs, texts, similarity), "near-links")
-        if links is None and not found.isEmpty():
-            links = found
-        elif links is not None:
-            links = links.unionByName(found)
-        if links is None:
-            classes = None
-            left = rest
-        else:
-            classes = stored(components(links, "pivot", "vertex"), "near-components")
-            named = classes.select(F.col("vertex").alias("named"), "component")
-            left = rest.join(named, F.col("vertex") == F.col("named"), "left").select("key", "vertex", F.coalesce("component", "vertex").alias("class"))
-        buckets = stored(_several_classes(left), "near-buckets")
-        if buckets.isEmpty():
-            break
-        # from now on only the vertices of open buckets are compared
-        needed = buckets.select("vertex").distinct()
-        texts = stored(texts.join(needed, "vertex", "left_semi"), "near-texts")
-    out = sketches.select("doc_id", "id_key", "text_hash", "vertex")
-    if classes is None:
-        return out.withColumn("class", F.col("vertex"))
+    texts = _identified(docs).select("id_key", "text_hash", "text").join(wanted, ["id_key", "text_hash"]).dropDuplicates(["id_key", "text_hash"]).select("vertex", "text")
+    links = stored(_verified(pairs, texts, similarity), "near-links")
+    classes = components(links, "pivot", "vertex")
+    buckets = stored(_open_buckets(rest, classes), "near-open")
+    if not buckets.isEmpty():
+        more = stored(_block_links(buckets, texts, similarity), "near-links")
+        if not more.isEmpty():
+            classes = components(links.unionByName(more), "pivot", "vertex")
     named = classes.select(F.col("vertex").alias("named"), "component")
-    return out.join(named, F.col("vertex") == F.col("named"), "left").select("doc_id", "id_key", "text_hash", "vertex", F.coalesce("component", "vertex").alias("class"))
+    rows = sketches.select("doc_id", "id_key", "text_hash", "vertex")
+    return rows.join(named, F.col("vertex") == F.col("named"), "left").select("doc_id", "id_key", "text_hash", "vertex", F.coalesce("component", "vertex").alias("class"))
 
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
