@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from ..storage import drop_stored, stored
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+#: Up to this many edges one task finds the components; the count is checked each time.
+SMALL_EDGES = 500_000
+
+
+def components(edges: DataFrame, a: str, b: str, small: int = SMALL_EDGES) -> DataFrame:
     """vertex, component (its smallest vertex) of all vertices of ``edges``.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): every step is an aggregation
     and a join on the vertex, so no component is ever gathered in one task, and the number of steps
-    grows with the logarithm of the longest chain.
+    grows with the logarithm of the longest chain. A few edges are joined in one task instead.
     """
     now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    if small and now.count() <= small:
+        return _in_one_task(now)
     while True:
         # large star: each vertex links its larger neighbours to its smallest
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -35,6 +41,30 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return now.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def join(frame):
+        import pandas as pd
+
+        parent: dict = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for u, v in zip(frame["u"], frame["v"], strict=True):
+            x, y = root(u), root(v)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        vertices = list(parent)
+        return pd.DataFrame({"vertex": vertices, "component": [root(v) for v in vertices]})
+
+    return edges.groupBy(F.lit(1).alias("one")).applyInPandas(join, f"vertex {kind}, component {kind}")
+
+
 def _digest(edges: DataFrame) -> tuple:
     h = F.xxhash64("u", "v")
     row = edges.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 8)).alias("s")).first()

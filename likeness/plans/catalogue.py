@@ -269,9 +269,9 @@ def fusion_candidates(spark, sf_dir):
 
 @query(
     f"""{FUSED}, scored AS (
-  SELECT h.*, p.original_image, 'crops/' || p.filename AS crop_path, p.face,
-    CASE WHEN fk IS NULL AND p.face IS NOT NULL THEN list_cosine_similarity(coalesce(p.face, (SELECT face FROM q)), (SELECT face FROM q)) END AS direct
-  FROM both_hits h JOIN points p USING (point_id)),
+  SELECT h.*, p.original_image, 'crops/' || p.filename AS crop_path, CASE WHEN fk IS NULL THEN o.s END AS direct
+  FROM both_hits h JOIN points p USING (point_id)
+  LEFT JOIN (SELECT point_id, list_cosine_similarity(face, (SELECT face FROM q)) AS s FROM points WHERE face IS NOT NULL) o USING (point_id)),
 totals AS (
   SELECT *, coalesce(0.6 * (51 - rk) / 50.0::DOUBLE, 0) + coalesce(0.4 * (51 - fk) / 50.0::DOUBLE, 0) + coalesce(0.4 * direct, 0) AS score FROM scored)
 SELECT CAST(row_number() OVER (ORDER BY round(score, 12) DESC, rk NULLS LAST, fk NULLS LAST) AS INTEGER) AS rank, point_id, round(score, 4) AS fusion_score,
