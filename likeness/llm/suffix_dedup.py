@@ -9,8 +9,8 @@ a run, kept as a hash of the bytes that its strings cover:
 * a run whose bytes occur twice is repeated as a whole, however many copies there are;
 * groups with different runs are searched by threshold-bounded interval expansion on a
   Burrows-Wheeler transform of the runs' bytes (``bwt_intervals``), a few whole groups at a time;
-* groups with more distinct runs than one task should hold are counted by single strings (place and
-  two 64-bit hashes), which spreads over tasks and is as exact.
+* groups with more distinct runs than one task should hold are counted by blocks of starts, down to
+  single strings (place and two 64-bit hashes), which spreads over tasks and is as exact.
 
 Strings are judged on the input texts; matches never cross documents. Null or empty texts have no
 bytes. Repeated rows are copies of each other, so their repeated strings go in each. An empty table
@@ -36,6 +36,8 @@ GRAM = 32
 MOST_RUNS = 1_500
 #: Bytes of whole groups that one interval expansion takes.
 CHUNK_BYTES = 1 << 20
+#: Starts in a block of a group that is split, level by level; each is less than half the threshold.
+WIDTHS = (64, 8, 1)
 #: Starts of one text handled at once.
 PIECE = 1 << 20
 _NULL_ID = -(1 << 63)
@@ -225,35 +227,65 @@ def _expanded(threshold: int):
     return run
 
 
-def _single_strings(threshold: int):
-    """mapInArrow function: place relative to the anchor and two hashes of every string of each run."""
+PART = "anchor long, content long, size int, back int, at int, bytes binary"
+PIECE_ROWS = "anchor long, content long, size int, back int, at int, bytes binary, block int, core long, h1 long, h2 long"
+
+
+def _split(threshold: int, width: int):
+    """mapInArrow function: the blocks of ``width`` starts, aligned to the anchor, of parts of runs.
+
+    A block has the hash of its core, the bytes that all strings of the whole block share, and two
+    hashes of all its bytes. Equal strings lie in blocks of equal number and core.
+    """
 
     def run(batches):
         for batch in batches:
-            for *key, raw in zip(*(batch.column(c).to_pylist() for c in (*KEY, "bytes")), strict=True):
+            out = [[] for _ in range(10)]
+            for *key, at, raw in zip(*(batch.column(c).to_pylist() for c in (*KEY, "at", "bytes")), strict=True):
                 data = np.frombuffer(raw, np.uint8)
-                lo = np.arange(len(data) - threshold + 1)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(pa.array([v] * len(lo), k) for v, k in zip(key, kinds, strict=True)),
-                        pa.array((lo - key[3]).astype(np.int32)), pa.array(lo.astype(np.int32)),
-                        pa.array(RollingHash(data)(lo, lo + threshold).astype(np.int64)),
-                        pa.array(RollingHash(data, _OTHER)(lo, lo + threshold).astype(np.int64)),
-                    ],
-                    names=[*KEY, "place", "lo", "h1", "h2"],
-                )
+                n = len(data) - threshold + 1
+                shift = at - key[3]  # place of the first start relative to the anchor
+                blocks = np.arange(shift // width, (shift + n - 1) // width + 1)
+                lo, hi = np.maximum(blocks * width - shift, 0), np.minimum((blocks + 1) * width - shift, n) - 1
+                a, b = RollingHash(data), RollingHash(data, _OTHER)
+                first, last = blocks * width - shift, (blocks + 1) * width - 1 - shift  # of the whole block, in the part or not
+                core = a(last, first + threshold)
+                whole = (a(lo, hi + threshold), b(lo, hi + threshold))
+                for k in range(len(blocks)):
+                    row = (*key, at + int(lo[k]), raw[lo[k] : hi[k] + threshold], int(blocks[k]), core[k], whole[0][k], whole[1][k])
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, k) for c, k in zip(out, kinds, strict=False)), *(pa.array(np.array(c, np.uint64).astype(np.int64)) for c in out[7:])],
+                names=[*KEY, "at", "bytes", "block", "core", "h1", "h2"],
+            )
 
     return run
 
 
 def _large_groups(runs: DataFrame, threshold: int) -> DataFrame:
-    """KEY, ranges of the runs of large groups: single strings counted by their hash and place."""
-    strings = runs.mapInArrow(_single_strings(threshold), "anchor long, content long, size int, back int, place int, lo int, h1 long, h2 long")
-    same = ["anchor", "place", "h1", "h2"]
-    twice = strings.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").select(*same)
-    hit = strings.join(twice, same)
-    return hit.groupBy(*KEY).agg(F.flatten(F.transform(F.collect_set("lo"), lambda x: F.array(x, x))).alias("ranges"))
+    """KEY, ranges of the runs of large groups.
+
+    Blocks of ever fewer starts are counted by their bytes: equal blocks are repeated as wholes, blocks
+    whose core is met in one form only are not repeated, the others are halved further, down to
+    single strings. Only a block at the border of a common passage goes on, so rows stay few.
+    """
+    parts, out = runs.withColumn("at", F.lit(0)), None
+    for width in WIDTHS:
+        pieces = stored(parts.select(*KEY, "at", "bytes").mapInArrow(_split(threshold, width), PIECE_ROWS), "substring-blocks")
+        forms = stored(pieces.groupBy("anchor", "block", "core", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(*KEY[1:], "at")).alias("row")), "substring-forms")
+        same = forms.where("n > 1").select("anchor", "block", "h1", "h2")
+        hit = pieces.join(same, ["anchor", "block", "h1", "h2"])
+        hit = hit.select(*KEY, F.array(F.col("at"), F.col("at") + F.length("bytes") - threshold).alias("ranges"))
+        out = hit if out is None else out.unionByName(hit)
+        if width == 1:
+            break
+        several = forms.groupBy("anchor", "block", "core").agg(F.count("*").alias("forms")).where("forms > 1").select("anchor", "block", "core")
+        # one part of each form goes on; parts of a form with copies have their answer already
+        left = forms.join(several, ["anchor", "block", "core"]).select("anchor", "row.*")
+        parts = pieces.select(*KEY, "at", "bytes").join(left, [*KEY, "at"])
+    return out
 
 
 def repeated_ranges(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
