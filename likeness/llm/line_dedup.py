@@ -230,7 +230,8 @@ def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, index: Line
     # lines are counted from 0 by transform's index; documents without frequent lines stay as they are
     kept = F.array_join(F.filter(F.split(F.col("row.text"), "\n"), lambda _, i: ~F.array_contains(F.col("lines"), i)), "\n")
     new = F.when(F.col("lines").isNull(), F.col("row.text")).otherwise(kept)
-    out = {"text": new}
-    if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("lines").isNull(), F.col("row.n_chars")).otherwise(F.char_length(new)).cast(docs.schema["n_chars"].dataType)
+    size = F.when(F.col("lines").isNull(), F.col("row.n_chars")).otherwise(F.char_length(new)) if "n_chars" in docs.columns else F.lit(None)
+    # in two steps: a column of ``docs`` may have the name of one used here
+    rows = rows.select("row", new.alias("new_text"), size.alias("new_size"))
+    out = {"text": F.col("new_text"), "n_chars": F.col("new_size").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return rows.select(*[(out[c] if c in out else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
