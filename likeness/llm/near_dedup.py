@@ -8,9 +8,10 @@ classes are the connected components of the verified links.
 No bucket is expanded into a table of all its pairs. First each bucket's members are compared with its
 pivot only, the member that shares most buckets with others; pivots with many members are salted.
 The pivot then leaves the bucket. Buckets whose rest is of one class are done; the others, which are
-few, are compared in blocks: every two blocks of a bucket meet in one task, which computes all their
-similarities at once and returns no more links than it has members. So every two texts that share a
-bucket are compared unless they are in one class already, and no link between classes is left out.
+few, are compared in blocks: members outside a bucket's largest class visit all its blocks, and a task
+computes the similarities of one block and its visitors at once and returns no more links than it
+has members. So every two texts that share a bucket are compared unless they are in one class
+already, and no link between classes is left out.
 
 Null or empty texts (no word) are never near-duplicates: each such row is its own class with a null
 class_id. Otherwise class_id is the smallest doc_id of the class (null if all its ids are null).
@@ -32,7 +33,7 @@ from .dart_minhash import band_keys, cells, jaccard, shingles, signatures
 SIMILARITY = 0.8
 #: Members of a pivot compared by one task.
 MEMBERS_PER_TASK = 2_000
-#: Members of a block; two blocks meet in one task.
+#: Members of a block; a block and as many visitors meet in one task.
 BLOCK_MEMBERS = 128
 _NULL_ID = -(1 << 63)
 
@@ -118,49 +119,57 @@ def _open_buckets(rest: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _block_links(buckets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (pivot, vertex) between the classes of each bucket."""
-    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
-    rows = buckets.select("key", "vertex", "class", blocks.alias("blocks"), F.pmod(F.xxhash64("vertex"), blocks).cast("int").alias("own"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "vertex", "class", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).join(texts, "vertex")
+    """Links (pivot, vertex) between the classes of each bucket.
+
+    The largest class of a bucket is not compared with itself: its members only sit in their blocks,
+    where the members of the other classes visit them and each other, a block of visitors at a time.
+    """
+    classes = buckets.groupBy("key", "class").agg(F.count("*").alias("held"), F.first("n").alias("n"))
+    main = classes.groupBy("key").agg(F.max(F.struct("held", "class")).alias("main"), F.first("n").alias("n"))
+    seats, guests = F.ceil(F.col("n") / BLOCK_MEMBERS), F.ceil((F.col("n") - F.col("main.held")) / BLOCK_MEMBERS)
+    main = main.select("key", F.col("main.class").alias("main"), seats.cast("int").alias("seats"), guests.cast("int").alias("guests"))
+    rows = buckets.select("key", "vertex", "class").join(main, "key")
+    place = lambda n, seed: F.pmod(F.xxhash64("vertex", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    residents = rows.select("key", "vertex", "class", F.lit(False).alias("visits"), place("seats", 1).alias("seat"), every("guests").alias("guest"))
+    visitors = rows.where(F.col("class") != F.col("main")).select("key", "vertex", "class", F.lit(True).alias("visits"), every("seats").alias("seat"), place("guests", 2).alias("guest"))
+    rows = residents.unionByName(visitors).join(texts, "vertex")
 
     def compare(frame):
         import pandas as pd
 
-        classes = np.unique(frame["class"].to_numpy(), return_inverse=True)[1]
-        vertices, out = frame["vertex"].tolist(), []
-        if classes.any():
+        visits, out = frame["visits"].to_numpy(bool), []
+        if visits.any() and not visits.all():
+            vertices, classes = frame["vertex"].tolist(), np.unique(frame["class"].to_numpy(), return_inverse=True)[1]
             hashes, doc = shingles(frame["text"].tolist())
             hashes, doc = cells(hashes, doc, counted=False)
-            shared = _shared_counts(hashes, doc, len(frame))
-            size = np.diag(shared)
-            alike = shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-9
-            alike &= classes[:, None] < classes[None, :]
-            if frame["a"].iloc[0] != frame["b"].iloc[0]:
-                own = frame["own"].to_numpy()
-                alike &= own[:, None] != own[None, :]
+            size = np.bincount(doc, minlength=len(frame))
+            here, there = np.flatnonzero(visits), np.flatnonzero(~visits)
+            shared = _shared_counts(hashes, doc, len(frame), here, there)
+            alike = shared >= similarity * (size[here][:, None] + size[there][None, :] - shared) - 1e-9
+            alike &= classes[here][:, None] != classes[there][None, :]
             group = np.arange(classes.max() + 1)
             for i, j in zip(*np.nonzero(alike), strict=True):
-                x, y = group[classes[i]], group[classes[j]]
+                x, y = group[classes[here[i]]], group[classes[there[j]]]
                 if x != y:
                     group[group == y] = x
-                    out.append((vertices[i], vertices[j]))
+                    out.append((vertices[here[i]], vertices[there[j]]))
         return pd.DataFrame(out, columns=["pivot", "vertex"])
 
-    return rows.groupBy("key", "a", "b").applyInPandas(compare, "pivot binary, vertex binary")
+    return rows.groupBy("key", "seat", "guest").applyInPandas(compare, "pivot binary, vertex binary")
 
 
-def _shared_counts(hashes: np.ndarray, doc: np.ndarray, n: int, width: int = 8192) -> np.ndarray:
-    """Number of elements that every two of n sets share; the diagonal has their sizes."""
+def _shared_counts(hashes: np.ndarray, doc: np.ndarray, n: int, rows: np.ndarray, columns: np.ndarray, width: int = 8192) -> np.ndarray:
+    """Number of elements that each set of ``rows`` shares with each of ``columns``."""
     element = np.unique(hashes, return_inverse=True)[1]
     order = np.argsort(element, kind="stable")
     element, doc = element[order], doc[order]
-    out = np.zeros((n, n))
+    out = np.zeros((len(rows), len(columns)))
     for at in range(0, int(element[-1]) + 1 if len(element) else 0, width):
         lo, hi = np.searchsorted(element, [at, at + width])
         held = np.zeros((n, width), np.float32)
         held[doc[lo:hi], element[lo:hi] - at] = 1
-        out += held @ held.T
+        out += held[rows] @ held[columns].T
     return out
 
 
