@@ -94,3 +94,10 @@ def result_envelope(hits: DataFrame, query: str, query_type: str, top_k: int, ti
 def first_embedding_ids(metadata: DataFrame) -> DataFrame:
     """crop_path, embedding_id: the first ordinal of each path."""
     return metadata.groupBy("crop_path").agg(F.min("ordinal").alias("embedding_id"))
+
+
+def metric_or(row: DataFrame, key: str, default: float = 0.0) -> Column:
+    """A metric of a result row: its own column, else the one of its ``evaluation`` struct, else the default."""
+    own = [F.col(key)] if key in row.columns else []
+    nested = [F.col(f"evaluation.{key}")] if "evaluation" in row.columns and key in row.schema["evaluation"].dataType.names else []
+    return F.coalesce(*own, *nested, F.lit(default))

@@ -81,11 +81,11 @@ def vec_scan_face(spark, sf_dir):
 
 
 @query(
-    f"WITH {POINTS} SELECT 'forensic_persons' AS collection, count(*) AS points_count, count(reid) AS reid_count, "
+    f"WITH {POINTS} SELECT 'persons' AS collection, count(*) AS points_count, count(reid) AS reid_count, "
     "count(face) AS face_count, count(DISTINCT source) AS source_count FROM points"
 )
 def collection_stats(spark, sf_dir):
-    return files.collection_stats(points(spark, sf_dir), "forensic_persons")
+    return files.collection_stats(points(spark, sf_dir), "persons")
 
 
 IMAGES = [f"photos/img_{n}.jpg" for n in (0, 3, 10, 40)]

@@ -70,3 +70,11 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         (x + 40 + i * 29 % 260).cast("double").alias("x2"),
         (y + 60 + i * 31 % 300).cast("double").alias("y2"),
     )
+
+
+def tiled(rows: DataFrame, n: int, id_column: str = "point_id") -> DataFrame:
+    """At least the rows of a table and at most n, repeated with new ids until there are n."""
+    have = max(1, rows.count())
+    copies = F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-n // have) - 1)))).alias("_copy")
+    more = rows.select("*", copies)
+    return more.withColumn(id_column, F.col(id_column) + F.col("_copy") * F.lit(1 << 40)).drop("_copy").orderBy(id_column).limit(n)
