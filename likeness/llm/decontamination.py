@@ -19,6 +19,7 @@ table gives no rows. ``drop_contaminated`` keeps all columns.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -184,17 +185,18 @@ class Searcher:
         return [(i, index.ids[k], *row) for (i, k), row in sorted(found.items())]
 
 
-def _shards(benchmark: DataFrame, threshold: float) -> list[Index]:
-    """Indexes of all items; the items of one shard are on the driver at a time."""
+def _shards(benchmark: DataFrame, threshold: float) -> Iterator[Index]:
+    """Indexes of all items, one shard at a time on the driver."""
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    out, ids, texts = [], [], []
+    ids, texts = [], []
     for row in items.orderBy("item_id", "text").toLocalIterator():
         ids.append(row["item_id"])
         texts.append(row["text"])
         if len(ids) == ITEMS_PER_SHARD:
-            out.append(Index.of(ids, texts, threshold))
+            yield Index.of(ids, texts, threshold)
             ids, texts = [], []
-    return [*out, Index.of(ids, texts, threshold)] if ids else out
+    if ids:
+        yield Index.of(ids, texts, threshold)
 
 
 MATCHES = "doc_id long, item_id long, n_passages long, score double, question_overlap double, answer_overlap double"
