@@ -185,12 +185,12 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     # copies of one row would give its vertex more than once
     texts = _identified(docs).select("id_key", "text_hash", "text").join(wanted, ["id_key", "text_hash"]).dropDuplicates(["id_key", "text_hash"]).select("vertex", "text")
     links = stored(_verified(pairs, texts, similarity), "near-links")
-    classes = components(links, "pivot", "vertex")
+    classes = components(links, "pivot", "vertex", small=0)
     buckets = stored(_open_buckets(rest, classes), "near-open")
     if not buckets.isEmpty():
         more = stored(_block_links(buckets, texts, similarity), "near-links")
         if not more.isEmpty():
-            classes = components(links.unionByName(more), "pivot", "vertex")
+            classes = components(links.unionByName(more), "pivot", "vertex", small=0)
     named = classes.select(F.col("vertex").alias("named"), "component")
     rows = sketches.select("doc_id", "id_key", "text_hash", "vertex")
     return rows.join(named, F.col("vertex") == F.col("named"), "left").select("doc_id", "id_key", "text_hash", "vertex", F.coalesce("component", "vertex").alias("class"))
