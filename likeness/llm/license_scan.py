@@ -3,8 +3,11 @@
 Base: words are runs of ASCII letters and digits and of characters above ASCII, A-Z in lower case;
 a phrase is found wherever its words stand one after the other.
 
-Method: a block is a line of a text, a template a licence notice; a block matches a template if it
-holds at least ``threshold`` of the template's distinct tokens. The join is exact:
+Method: a template is a licence notice. A block is a line of a text, or a window of consecutive words
+across its lines, for notices that are wrapped; a window has as many words as the template over
+``threshold``, rounded up. A block matches a template if it holds at least ``threshold`` of the
+template's distinct tokens. A line that matches a template alone is a block by itself and no part of
+that template's windows. The join with lines is exact:
 
 * tokens are ordered by the number of blocks of the whole corpus that hold them, rarest first;
 * prefix filter: a match shares one of the template's first |T| - need + 1 tokens, need being
@@ -14,7 +17,9 @@ holds at least ``threshold`` of the template's distinct tokens. The join is exac
 * what remains is verified by the whole intersection.
 
 The templates, their prefixes and token frequencies are bounded by the template list and broadcast.
-Words that are in no template cannot match and are left out before any row is made.
+Words that are in no template cannot match and are left out before any row is made. Windows make no
+rows: a text of several lines is compared with a template if all its words together hold enough
+tokens, and then from each word of the template on, so no window that matches is missed.
 
 Null or empty texts have no words, no places (first_word and last_word null), empty labels and score
 0. Repeated rows each get their row; an empty table gives no rows. Other columns are not read.
@@ -97,6 +102,30 @@ def _blocks(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     return lines.select("doc_id", "text_hash", tokens.alias("tokens"))
 
 
+def _window_matches(docs: DataFrame, templates, need: dict[str, int], threshold: float) -> DataFrame:
+    """doc_id, text_hash, label and containment of the best window of each text and template that match."""
+    listed = F.array(*(
+        F.struct(F.lit(label).alias("label"), F.lit(need[label]).alias("need"), F.lit(math.ceil(len(text.split()) / threshold - 1e-9)).alias("span"), _strings(sorted(set(text.split()))).alias("tokens"))
+        for label, text in templates
+    ))
+    vocabulary = sorted({t for _, text in templates for t in text.split()})
+    rows = docs.where(text_of(docs).contains("\n")).select(doc_id_of(docs).alias("doc_id"), F.xxhash64(text_of(docs)).alias("text_hash"), F.lower(text_of(docs)).alias("text"))
+    rows = rows.select("doc_id", "text_hash", "text", F.array_intersect(F.split("text", _BREAK), _strings(vocabulary)).alias("held"))
+    likely = F.filter(listed, lambda t: F.size(F.array_intersect("held", t["tokens"])) >= t["need"])
+    pairs = rows.select("doc_id", "text_hash", "text", F.explode(likely).alias("t"))
+    alone = lambda words: F.size(F.array_intersect(words, F.col("t.tokens"))) >= F.col("t.need")
+    lines = F.transform(F.transform(F.split("text", "\n"), _words), lambda words: F.when(alone(words), F.transform(words, lambda w: F.lit(""))).otherwise(words))
+    hits = F.filter(F.transform(F.flatten(lines), lambda w, i: F.struct(i.alias("at"), w.alias("token"))), lambda h: F.array_contains(F.col("t.tokens"), h["token"]))
+    pairs = pairs.select("doc_id", "text_hash", "t", hits.alias("hits"))
+
+    def shared(h, i):
+        window = F.filter(F.slice("hits", i + 1, F.col("t.span")), lambda x: x["at"] < h["at"] + F.col("t.span"))
+        return F.size(F.array_distinct(F.transform(window, lambda x: x["token"])))
+
+    pairs = pairs.select("doc_id", "text_hash", "t", F.array_max(F.transform("hits", shared)).alias("shared"))
+    return pairs.where(F.col("shared") >= F.col("t.need")).select("doc_id", "text_hash", "t.label", (F.col("shared") / F.size("t.tokens")).alias("containment"))
+
+
 def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text_hash, label, containment of the best block for each template that matches."""
     spark = docs.sparkSession
@@ -123,6 +152,7 @@ def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = TH
     pairs = pairs.where((F.size("tokens") >= F.col("need")) & first & enough)
     shared = F.size(F.array_intersect("tokens", "template"))
     matched = pairs.where(shared >= F.col("need")).select("doc_id", "text_hash", "label", (shared / F.col("size")).alias("containment"))
+    matched = matched.unionByName(_window_matches(docs, templates, need, threshold))
     return matched.groupBy("doc_id", "text_hash", "label").agg(F.max("containment").alias("containment"))
 
 
