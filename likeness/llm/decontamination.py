@@ -13,7 +13,8 @@ and at least ``overlap`` of the three-word shingles of both its question (the fi
 its words) and its answer (the rest) are in the passage.
 
 Items are taken in shards of ``ITEMS_PER_SHARD``, so a broadcast index is bounded however many items
-there are. Null or empty texts and items match nothing; repeated rows are reported each; an empty
+there are. Item count, mean length, longest item and document frequencies are those of all items,
+counted in DataFrame passes first, so the results do not depend on the shards. Null or empty texts and items match nothing; repeated rows are reported each; an empty
 table gives no rows. ``drop_contaminated`` keeps all columns.
 """
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SLICE_BYTES, doc_id_of, ship, text_of, text_slices
+from ._common import SLICE_BYTES, doc_id_of, drop_stored, ship, stored, text_of, text_slices
 from .words import IntTable, span_hashes, texts_of
 
 THRESHOLD = 0.6
@@ -61,6 +62,23 @@ def _shingles(keys: np.ndarray) -> set:
     return {tuple(keys[i : i + n].tolist()) for i in range(len(keys) - n + 1)} if n else set()
 
 
+@dataclass
+class Statistics:
+    """Of all items that have words; ``frequency`` holds the terms of one shard at least."""
+
+    items: int
+    mean: float
+    longest: int
+    frequency: dict[int, int]
+
+    @classmethod
+    def of(cls, words: list[np.ndarray]) -> Statistics:
+        """For items that are all at hand."""
+        terms = np.concatenate([np.unique(w) for w in words]) if words else np.zeros(0, np.int64)
+        frequency = dict(zip(*(x.tolist() for x in np.unique(terms, return_counts=True)), strict=True))
+        return cls(len(words), sum(map(len, words)) / max(1, len(words)), max(map(len, words), default=0), frequency)
+
+
 @dataclass
 class Index:
     """Normalised BM25 impacts of a shard of items."""
@@ -76,21 +94,18 @@ class Index:
     passage: int
 
     @classmethod
-    def of(cls, ids: list[int], texts: list[str], threshold: float) -> Index:
+    def of(cls, ids: list[int], texts: list[str], threshold: float, statistics: Statistics | None = None) -> Index:
         keys, doc = word_keys(texts)
         words = np.split(keys, np.searchsorted(doc, np.arange(1, len(texts))))
         some = [i for i, w in enumerate(words) if len(w)]
         ids, words = [ids[i] for i in some], [words[i] for i in some]
         counts = [dict(zip(*(x.tolist() for x in np.unique(w, return_counts=True)), strict=True)) for w in words]
-        frequency: dict[int, int] = {}
-        for c in counts:
-            for t in c:
-                frequency[t] = frequency.get(t, 0) + 1
-        mean = sum(map(len, words)) / max(1, len(words))
+        statistics = statistics or Statistics.of(words)
+        frequency, mean = statistics.frequency, statistics.mean
         impacts = []
         for c, w in zip(counts, words, strict=True):
             norm = K1 * (1 - B + B * len(w) / mean)
-            raw = {t: np.log(1 + (len(words) - frequency[t] + 0.5) / (frequency[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in c.items()}
+            raw = {t: np.log(1 + (statistics.items - frequency[t] + 0.5) / (frequency[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in c.items()}
             total = sum(raw.values())
             impacts.append({t: float(v / total) for t, v in raw.items()})
         # skip the most common terms while no item can get near the threshold by them alone
@@ -99,7 +114,7 @@ class Index:
         for i, d in enumerate(impacts):
             for t in d:
                 holders.setdefault(t, []).append(i)
-        for t in sorted(frequency, key=lambda t: (-frequency[t], t)):
+        for t in sorted(holders, key=lambda t: (-frequency[t], t)):
             add = np.array([impacts[i][t] for i in holders[t]])
             if frequency[t] < 2 or (reach[holders[t]] + add > SKIPPED * threshold).any():
                 continue
@@ -108,7 +123,7 @@ class Index:
         blocks = np.arange(len(words)) // BLOCK_ITEMS
         bound = np.zeros(int(blocks[-1]) + 1 if len(words) else 0)
         np.maximum.at(bound, blocks, reach)
-        terms = np.array(sorted(t for t in frequency if t not in skipped), np.int64)
+        terms = np.array(sorted(t for t in holders if t not in skipped), np.int64)
         first, block, most = [0], [], []
         for t in terms.tolist():
             best: dict[int, float] = {}
@@ -118,8 +133,7 @@ class Index:
             block.extend(best)
             most.extend(best.values())
             first.append(len(block))
-        longest = max(map(len, words), default=0)
-        return cls(ids, words, impacts, terms, np.array(first), np.array(block, np.int64), np.array(most), bound, max(PASSAGE_WORDS, 2 * longest))
+        return cls(ids, words, impacts, terms, np.array(first), np.array(block, np.int64), np.array(most), bound, max(PASSAGE_WORDS, 2 * statistics.longest))
 
 
 class Searcher:
@@ -185,18 +199,47 @@ class Searcher:
         return [(i, index.ids[k], *row) for (i, k), row in sorted(found.items())]
 
 
+def _item_terms(batches) -> Iterator[pa.RecordBatch]:
+    """For each item with words its length (term null), and for each of its terms a row."""
+    for _, texts in text_slices(batches):
+        keys, doc = word_keys(texts)
+        lengths = np.bincount(doc, minlength=len(texts))
+        lengths = lengths[lengths > 0]
+        order = np.lexsort((keys, doc))
+        keys, doc = keys[order], doc[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (np.diff(keys) != 0) | (np.diff(doc) != 0)
+        terms = pa.array([None] * len(lengths) + keys[new].tolist(), pa.int64())
+        yield pa.RecordBatch.from_arrays([terms, pa.array(lengths.tolist() + [0] * int(new.sum()), pa.int64())], names=["term", "words"])
+
+
 def _shards(benchmark: DataFrame, threshold: float) -> Iterator[Index]:
     """Indexes of all items, one shard at a time on the driver."""
+    spark = benchmark.sparkSession
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    counted = items.select("text").mapInArrow(_item_terms, "term long, words long").groupBy("term").agg(
+        F.count("*").alias("items"), F.sum("words").alias("words"), F.max("words").alias("longest")
+    )
+    counted = stored(counted, "benchmark-terms")  # one row a term, and one of all lengths
+    whole = counted.where("term IS NULL").first()
+
+    def index(ids: list[int], texts: list[str]) -> Index:
+        terms = pa.table({"term": np.unique(word_keys(texts)[0])})
+        found = counted.join(F.broadcast(spark.createDataFrame(terms)), "term").select("term", "items").toArrow()
+        frequency = dict(zip(found["term"].to_pylist(), found["items"].to_pylist(), strict=True))
+        statistics = Statistics(whole["items"], whole["words"] / whole["items"], whole["longest"], frequency) if whole else None
+        return Index.of(ids, texts, threshold, statistics)
+
     ids, texts = [], []
     for row in items.orderBy("item_id", "text").toLocalIterator():
         ids.append(row["item_id"])
         texts.append(row["text"])
         if len(ids) == ITEMS_PER_SHARD:
-            yield Index.of(ids, texts, threshold)
+            yield index(ids, texts)
             ids, texts = [], []
     if ids:
-        yield Index.of(ids, texts, threshold)
+        yield index(ids, texts)
+    drop_stored(counted)
 
 
 MATCHES = "doc_id long, item_id long, n_passages long, score double, question_overlap double, answer_overlap double"
