@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,17 +48,32 @@ def sizes_map(labels: DataFrame) -> DataFrame:
     return s.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("cluster_id").cast("string"), "size")))).alias("cluster_sizes"))
 
 
-def _try_int(c: Column) -> Column:
-    """Integer text as an int, null otherwise."""
-    return F.trim(c).try_cast("int")
+def find_key(document: Column, key: str) -> Column:
+    """First int under ``key`` at any depth: of an object itself, then within its payload, then within its other values.
 
+    Lists are not searched. A value that Python's ``int`` or an int column does not take is passed over.
+    """
 
-def find_key(document: Column, key: str) -> Column:
-    """First int under ``key``: of the document itself, then of its payload, then of any value one level down."""
-    own, payload = F.get_json_object(document, f"$.{key}"), F.get_json_object(document, f"$.payload.{key}")
-    values = F.map_values(F.from_json(document, "map<string, string>"))
-    inner = F.filter(F.transform(values, lambda v: F.when(F.trim(v).startswith("{"), _try_int(F.get_json_object(v, f"$.{key}")))), lambda x: x.isNotNull())
-    return F.coalesce(_try_int(own), _try_int(payload), F.get(inner, F.lit(0)))
+    def find(text):
+        try:
+            todo = [json.loads(text)]
+        except (TypeError, ValueError):
+            return None
+        while todo:
+            held = todo.pop()
+            if not isinstance(held, dict):
+                continue
+            try:
+                found = int(held[key])
+                if -(1 << 31) <= found < 1 << 31:
+                    return found
+            except (KeyError, TypeError, ValueError, OverflowError):
+                pass
+            todo.extend(v for k, v in reversed(held.items()) if k != "payload")
+            todo.append(held.get("payload"))
+        return None
+
+    return F.udf(find, "int")(document)
 
 
 def flatten_cluster_document(documents: DataFrame, column: str = "document", key: str = "market_id") -> DataFrame:

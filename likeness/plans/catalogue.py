@@ -573,6 +573,8 @@ def json_find_key(spark, sf_dir):
     i, n = F.col("page_id"), (F.col("page_id") * 3).cast("string")
     document = (
         F.when(i % 4 == 0, F.concat(F.lit('{"market_id": '), n, F.lit("}")))
+        .when(i % 8 == 5, F.concat(F.lit('{"a": {"b": 1}, "payload": {"x": {"y": {"market_id": '), n, F.lit("}}}}")))
+        .when(i % 8 == 6, F.concat(F.lit('{"a": {"b": {"market_id": '), n, F.lit('}}, "c": {"market_id": 1}}')))
         .when(i % 4 == 1, F.concat(F.lit('{"payload": {"market_id": "'), n, F.lit('"}}')))
         .when(i % 4 == 2, F.concat(F.lit('{"a": [1], "extra": {"market_id": '), n, F.lit("}}")))
         .otherwise(F.lit('{"market_id": "unknown", "other": 5}'))
