@@ -54,7 +54,7 @@ class OnlineBestFit:
             free = length + (fitting & -fitting).bit_length() - 1
             b = self._take(free)
         else:
-            if self.n_open >= self.most:  # the fullest closes
+            if self.n_open >= self.most and length < self.capacity:  # the fullest closes; a full bin needs no place
                 self._take((self.free_bits & -self.free_bits).bit_length() - 1)
             free, b = self.capacity, self.n_bins
             self.n_bins += 1
