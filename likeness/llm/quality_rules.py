@@ -240,7 +240,9 @@ def fit_on_labels(stats: DataFrame, labels: DataFrame, most: int = MOST_TRAINING
         known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != held_out_fold)
     # bounded: the smallest hashes go to the driver, then only these documents' statistics
     picked = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = stats.select("doc_id", "features").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    # of several rows with one id, the one with the least features: the same in every run
+    rows = stats.select("doc_id", "features").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("features").alias("features"))
+    rows = rows.toPandas().sort_values("doc_id")
     x = np.array(rows["features"].tolist(), float).reshape(-1, len(FEATURES))
     return fit_trees(x, rows["quality"].to_numpy(float), list(FEATURES.values()))
 
