@@ -39,29 +39,21 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(texts: list[str], most: int = SLICE_BYTES):
-    """Index ranges of consecutive texts of about ``most`` characters together."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts) or not texts:
-        yield start, len(texts)
-
-
-def text_slices(batches, most: int = SLICE_BYTES):
-    """(record batch, texts) of bounded text size from the batches of ``mapInArrow``."""
+def text_slices(batches, most: int = SLICE_BYTES, column: int | None = None):
+    """(record batch, texts) of bounded text size from the batches of ``mapInArrow``.
+
+    A text that is longer than ``most`` is alone in its slice. ``column`` is the place of the text
+    column, by default the one named ``text``.
+    """
     for batch in batches:
-        k = batch.schema.get_field_index("text")
+        k = batch.schema.get_field_index("text") if column is None else column
         sizes = batch.column(k)
         if not batch.num_rows:
             continue
         lengths = [0 if n is None else n for n in pa.compute.binary_length(sizes).to_pylist()]
         start, size = 0, 0
         for i, n in enumerate([*lengths, None]):
-            if n is None or (size and size + n > most):
+            if n is None or (i > start and size + n > most):
                 part = batch.slice(start, i - start)
                 yield part, [t or "" for t in part.column(k).to_pylist()]
                 start, size = i, 0

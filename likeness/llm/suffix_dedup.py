@@ -91,6 +91,8 @@ def runs_of(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, threshold: i
     empty = np.zeros(0, np.int64)
     if n < threshold:
         return (empty,) * 4 + (empty.astype(np.uint64),) * 2
+    if n >> 24:
+        raise ValueError("places are kept in 24 bits: cut the bytes into pieces first")
     h = RollingHash(data)
     place = np.arange(n - GRAM + 1)
     gram = h(place, place + GRAM)
@@ -161,25 +163,25 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """anchor, content, size, back, bytes of the wanted runs (KEY, id_key, text_hash, start)."""
-    each = wanted.groupBy("id_key", "text_hash").agg(F.collect_list(F.struct(*KEY, "start")).alias("runs"))
+    """KEY, kinds, bytes of the wanted runs (KEY, kinds, id_key, text_hash, start)."""
+    each = wanted.groupBy("id_key", "text_hash").agg(F.collect_list(F.struct(*KEY, "kinds", "start")).alias("runs"))
     rows = _texts(docs).select("id_key", "text_hash", "text").join(each, ["id_key", "text_hash"]).select("text", "runs")
 
     def run(batches):
         for batch, texts in text_slices(batches):
-            out = [[] for _ in range(5)]
+            out = [[] for _ in range(6)]
             for text, runs in zip(texts, batch.column("runs").to_pylist(), strict=True):
                 raw = text.encode()
                 for r in runs:
-                    for column, value in zip(out, (*(r[c] for c in KEY), raw[r["start"] : r["start"] + r["size"]]), strict=True):
+                    for column, value in zip(out, (*(r[c] for c in (*KEY, "kinds")), raw[r["start"] : r["start"] + r["size"]]), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())],
-                names=[*KEY, "bytes"],
+                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.binary())],
+                names=[*KEY, "kinds", "bytes"],
             )
 
     # copies of one row give a run more than once
-    return rows.mapInArrow(run, "anchor long, content long, size int, back int, bytes binary").dropDuplicates(KEY)
+    return rows.mapInArrow(run, "anchor long, content long, size int, back int, kinds long, bytes binary").dropDuplicates(KEY)
 
 
 FOUND = "anchor long, content long, size int, back int, ranges array<int>"
@@ -292,14 +294,16 @@ def repeated_ranges(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFr
     """(runs of all texts, FOUND: ranges of repeated starts of each distinct run)."""
     spark = docs.sparkSession
     runs = stored(_texts(docs).select("id_key", "text_hash", "text").mapInArrow(_run_rows(threshold), RUNS), "substring-runs")
-    twice = runs.groupBy("anchor").agg(F.sum(F.size("starts")).alias("n")).where("n > 1").select("anchor")
+    # counts by anchor are stored, so that both sides of each join come from an exchange of their own
+    # and adaptive execution can split the runs of a hot anchor over tasks
+    twice = stored(runs.groupBy("anchor").agg(F.sum(F.size("starts")).alias("n")).where("n > 1").select("anchor"), "substring-anchors")
     runs = stored(runs.join(twice, "anchor"), "substring-candidates")
     distinct = runs.groupBy(*KEY).agg(F.sum(F.size("starts")).alias("n"), F.min(F.struct("id_key", "text_hash", F.col("starts")[0].alias("start"))).alias("row"))
     distinct = stored(distinct, "substring-distinct")
     whole = distinct.where("n > 1").select(*KEY, F.array(F.lit(0), F.col("size") - threshold).alias("ranges"))
-    groups = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    groups = stored(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "substring-groups")
     different = distinct.join(groups, "anchor")
-    bytes_of = stored(_fetch(docs, different.select(*KEY, "row.id_key", "row.text_hash", "row.start")).join(groups, "anchor"), "substring-bytes")
+    bytes_of = stored(_fetch(docs, different.select(*KEY, "kinds", "row.id_key", "row.text_hash", "row.start")), "substring-bytes")
     small = bytes_of.where(F.col("kinds") <= MOST_RUNS).select(*KEY, "bytes").repartition(parallelism(spark), "anchor").sortWithinPartitions(*KEY)
     found = small.mapInArrow(_expanded(threshold), FOUND)
     large = _large_groups(bytes_of.where(F.col("kinds") > MOST_RUNS).select(*KEY, "bytes"), threshold)

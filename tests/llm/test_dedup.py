@@ -151,3 +151,14 @@ def test_substrings_match_brute_force(spark, edge_docs, no_docs, monkeypatch, mo
     assert as_rows(substring_dedup(table)) == sorted(want)
     assert substring_dedup(no_docs).count() == 0
     assert substring_dedup(edge_docs).count() == edge_docs.count()
+
+
+def test_substrings_of_a_text_beyond_16_mib_after_an_empty_one(spark):
+    rng = np.random.default_rng(9)
+    raw = bytearray(rng.integers(97, 123, 17_000_000).astype(np.uint8).tobytes())
+    raw[1_000_000:1_001_024] = raw[16_900_000:16_901_024]
+    raw[999_999], raw[1_001_024], raw[16_899_999], raw[16_901_024] = b"<>()"
+    docs = spark.createDataFrame([(1, ""), (2, raw.decode()), (3, None)], "doc_id long, text string").coalesce(1)
+    kept = bytes(raw[:1_000_000] + raw[1_001_024:16_900_000] + raw[16_901_024:])
+    empty = hashlib.sha256(b"").hexdigest()
+    assert as_rows(substring_dedup(docs)) == [("1", 0, 0, 0, empty), ("2", 17_000_000, 2048, 2, hashlib.sha256(kept).hexdigest()), ("3", 0, 0, 0, empty)]
