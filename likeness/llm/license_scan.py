@@ -3,23 +3,21 @@
 Base: words are runs of ASCII letters and digits and of characters above ASCII, A-Z in lower case;
 a phrase is found wherever its words stand one after the other.
 
-Method: a template is a licence notice. A block is a line of a text, or a window of consecutive words
-across its lines, for notices that are wrapped; a window has as many words as the template over
-``threshold``, rounded up. A block matches a template if it holds at least ``threshold`` of the
-template's distinct tokens. A line that matches a template alone is a block by itself and no part of
-that template's windows. The join with lines is exact:
+Method: a template is a licence notice, a row of a table. A block is a window of consecutive words of
+a text, whatever lines they stand on; it has as many words as the template over ``threshold``, rounded
+up. A block matches a template if it holds at least ``threshold`` of the template's distinct tokens.
+The texts are read once: each gives its hits, the places of the words that are in any template, kept
+as a stored table. All else runs on it, and the join of hits and templates is exact:
 
-* tokens are ordered by the number of blocks of the whole corpus that hold them, rarest first;
+* tokens are ordered by how often the whole corpus has them, rarest first;
 * prefix filter: a match shares one of the template's first |T| - need + 1 tokens, need being
   ceil(threshold * |T|), so only those tokens are joined on;
-* length filter: the block holds at least ``need`` tokens of the template vocabulary;
-* positional filter: from the first shared token on, what is left of both sides suffices;
-* what remains is verified by the whole intersection.
+* length filter: the text holds at least ``need`` tokens of the template at all;
+* positional filter: a block can only match if the ``need``-th hit from its first one is still in it;
+* what remains is verified by the tokens of the whole block. A best block begins at a hit, so every
+  hit's block is looked at and none that matches is missed.
 
-The templates, their prefixes and token frequencies are bounded by the template list and broadcast.
-Words that are in no template cannot match and are left out before any row is made. Windows make no
-rows: a text of several lines is compared with a template if all its words together hold enough
-tokens, and then from each word of the template on, so no window that matches is missed.
+The templates, their prefixes and token counts are bounded by the table of templates and broadcast.
 
 Null or empty texts have no words, no places (first_word and last_word null), empty labels and score
 0. Repeated rows each get their row; an empty table gives no rows. Other columns are not read.
@@ -30,62 +28,85 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import doc_id_of, text_of
+from ._common import doc_id_of, stored, text_of
 
 #: Phrases and the labels of the base.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Label and text of each licence notice.
+#: Label and text of each licence notice; a label may have several.
 TEMPLATES = (
     ("apache-notice", "licensed under the apache license version 2 0"),
     ("apache-terms", "you may not use this file except in compliance with the license"),
+    ("boost-notice", "distributed under the boost software license version 1 0"),
     ("bsd-notice", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("cc-notice", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-notice", "licensed under cc by 4 0"),
+    ("cc-notice", "licensed under cc by sa 4 0"),
+    ("cc-notice", "licensed under cc by nc 4 0"),
+    ("cc-notice", "licensed under cc by nd 4 0"),
+    ("cc-notice", "licensed under cc by nc sa 4 0"),
+    ("cc-notice", "licensed under cc by nc nd 4 0"),
+    ("epl-notice", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
     ("gpl-notice", "this work is licensed under the gnu general public license version 3"),
     ("gpl-terms", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("isc-notice", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("mit-notice", "released under the mit license"),
     ("mit-terms", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
     ("mpl-notice", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib-notice", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
 )
 
 THRESHOLD = 0.8
+#: What stands between words of a text in lower case; A-Z cannot occur there.
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(text, _BREAK), "")
+def _lowered(text: Column) -> Column:
+    """A-Z in lower case; other capitals make no difference to words or to tokens of ASCII letters.
 
+    Of them only the Kelvin sign and the dotted capital I have ASCII letters as their lower case.
+    """
+    return F.when(text.contains("K") | text.contains("İ"), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
 
-def _strings(values) -> Column:
-    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+
+def template_table(spark, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """template, label, tokens, need, span of rows of (label, text)."""
+    rows = []
+    for n, (label, text) in enumerate(templates):
+        words = text.split()
+        tokens = sorted(set(words))
+        rows.append((n, label, tokens, max(1, math.ceil(threshold * len(tokens) - 1e-9)), math.ceil(len(words) / threshold - 1e-9)))
+    return spark.createDataFrame(rows, "template int, label string, tokens array<string>, need int, span int")
 
 
-def _places(words: Column) -> Column:
-    """Start place of every phrase, as an array of structs (place, label)."""
+def word_hits(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """doc_id, text_hash, n_words and hits (place and token of each word of the vocabulary) of every row."""
+    words = F.array_remove(F.split(_lowered(text_of(docs)), _BREAK), "")
+    rows = docs.select(doc_id_of(docs).alias("doc_id"), F.xxhash64(text_of(docs)).alias("text_hash"), words.alias("words"))
+    hit = F.transform("words", lambda w, i: F.when(w.isin(vocabulary), F.struct(i.alias("at"), w.alias("token"))))
+    return rows.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.filter(hit, lambda h: h.isNotNull()).alias("hits"))
 
-    def start(word, i):
+
+def base_scan(hits: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_words, n_base, first_word, last_word, base (array of labels)."""
+
+    def start(h, i):
         cases = []
         for phrase, label in PHRASES.items():
-            parts = phrase.split()
-            last = len(parts) - 1
-            here = reduce(lambda a, b: a & b, [F.get(words, i - last + k) == p for k, p in enumerate(parts[:-1])], word == parts[-1])
-            cases.append(F.when(here & (i >= last), F.struct((i - last).cast("long").alias("place"), F.lit(label).alias("label"))))
+            here = [h["token"] == phrase.split()[0]]
+            for k, word in enumerate(phrase.split()[1:], 1):
+                after = F.get("hits", i + k)
+                here += [after["token"] == word, after["at"] == h["at"] + k]
+            cases.append(F.when(reduce(lambda a, b: a & b, here), F.struct(h["at"].cast("long").alias("place"), F.lit(label).alias("label"))))
         return F.coalesce(*cases)
 
-    return F.filter(F.transform(words, start), lambda x: x.isNotNull())
-
-
-def base_scan(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_words, n_base, first_word, last_word, base (array of labels)."""
-    text = F.lower(text_of(docs))
-    rows = docs.select(doc_id_of(docs).alias("doc_id"), F.xxhash64(text_of(docs)).alias("text_hash"), text.alias("text"), _words(text).alias("words"))
-    # only texts that hold the last word of a phrase are searched place by place
-    some = reduce(lambda a, b: a | b, [F.col("text").contains(p.split()[-1]) for p in PHRASES])
-    rows = rows.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.when(some, _places(F.col("words"))).alias("places"))
+    places = F.when(F.array_contains("hits.token", "license"), F.filter(F.transform("hits", start), lambda x: x.isNotNull()))
+    rows = hits.select("doc_id", "text_hash", "n_words", places.alias("places"))
     return rows.select(
         "doc_id", "text_hash", "n_words",
         F.when(F.col("places").isNull(), 0).otherwise(F.size("places")).cast("long").alias("n_base"),
@@ -95,73 +116,46 @@ def base_scan(docs: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """doc_id, text_hash and the vocabulary tokens of each line that holds any."""
-    lines = docs.select(doc_id_of(docs).alias("doc_id"), F.xxhash64(text_of(docs)).alias("text_hash"), F.explode(F.split(F.lower(text_of(docs)), "\n")).alias("line"))
-    tokens = F.array_intersect(F.split("line", _BREAK), _strings(vocabulary))
-    return lines.select("doc_id", "text_hash", tokens.alias("tokens"))
-
-
-def _window_matches(docs: DataFrame, templates, need: dict[str, int], threshold: float) -> DataFrame:
-    """doc_id, text_hash, label and containment of the best window of each text and template that match."""
-    listed = F.array(*(
-        F.struct(F.lit(label).alias("label"), F.lit(need[label]).alias("need"), F.lit(math.ceil(len(text.split()) / threshold - 1e-9)).alias("span"), _strings(sorted(set(text.split()))).alias("tokens"))
-        for label, text in templates
-    ))
-    vocabulary = sorted({t for _, text in templates for t in text.split()})
-    rows = docs.where(text_of(docs).contains("\n")).select(doc_id_of(docs).alias("doc_id"), F.xxhash64(text_of(docs)).alias("text_hash"), F.lower(text_of(docs)).alias("text"))
-    rows = rows.select("doc_id", "text_hash", "text", F.array_intersect(F.split("text", _BREAK), _strings(vocabulary)).alias("held"))
-    likely = F.filter(listed, lambda t: F.size(F.array_intersect("held", t["tokens"])) >= t["need"])
-    pairs = rows.select("doc_id", "text_hash", "text", F.explode(likely).alias("t"))
-    alone = lambda words: F.size(F.array_intersect(words, F.col("t.tokens"))) >= F.col("t.need")
-    lines = F.transform(F.transform(F.split("text", "\n"), _words), lambda words: F.when(alone(words), F.transform(words, lambda w: F.lit(""))).otherwise(words))
-    hits = F.filter(F.transform(F.flatten(lines), lambda w, i: F.struct(i.alias("at"), w.alias("token"))), lambda h: F.array_contains(F.col("t.tokens"), h["token"]))
-    pairs = pairs.select("doc_id", "text_hash", "t", hits.alias("hits"))
-
-    def shared(h, i):
-        window = F.filter(F.slice("hits", i + 1, F.col("t.span")), lambda x: x["at"] < h["at"] + F.col("t.span"))
-        return F.size(F.array_distinct(F.transform(window, lambda x: x["token"])))
-
-    pairs = pairs.select("doc_id", "text_hash", "t", F.array_max(F.transform("hits", shared)).alias("shared"))
-    return pairs.where(F.col("shared") >= F.col("t.need")).select("doc_id", "text_hash", "t.label", (F.col("shared") / F.size("t.tokens")).alias("containment"))
-
-
-def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text_hash, label, containment of the best block for each template that matches."""
-    spark = docs.sparkSession
-    sets = {label: sorted(set(text.split())) for label, text in templates}
-    need = {label: max(1, math.ceil(threshold * len(s) - 1e-9)) for label, s in sets.items()}
-    vocabulary = sorted({t for s in sets.values() for t in s})
-    least = min(need.values())
-    blocks = _blocks(docs, vocabulary).where(F.size("tokens") >= least)
-    counted = blocks.select(F.explode("tokens").alias("token")).groupBy("token").count().collect()  # one row a template token
-    frequency = {r["token"]: r["count"] for r in counted}
-    order = {t: i for i, t in enumerate(sorted(vocabulary, key=lambda t: (frequency.get(t, 0), t)))}
-    prefixes = []
-    for label, s in sets.items():
-        ranked = sorted(s, key=order.get)
-        for i, t in enumerate(ranked[: len(ranked) - need[label] + 1]):
-            prefixes.append((t, label, i, len(ranked), need[label], ranked))
-    small = spark.createDataFrame(prefixes, "token string, label string, place int, size int, need int, template array<string>")
-    in_order = F.array_intersect(_strings(sorted(vocabulary, key=order.get)), F.col("tokens"))
-    ranked = blocks.where(F.arrays_overlap("tokens", _strings(sorted({p[0] for p in prefixes})))).select("doc_id", "text_hash", in_order.alias("tokens"))
-    each = ranked.select("doc_id", "text_hash", "tokens", F.posexplode("tokens").alias("at", "token"))
-    pairs = each.join(F.broadcast(small), "token")
-    enough = 1 + F.least(F.col("size") - F.col("place") - 1, F.size("tokens") - F.col("at") - 1) >= F.col("need")
-    first = F.get(F.array_intersect("tokens", "template"), F.lit(0)) == F.col("token")  # each pair once, at its first shared token
-    pairs = pairs.where((F.size("tokens") >= F.col("need")) & first & enough)
-    shared = F.size(F.array_intersect("tokens", "template"))
-    matched = pairs.where(shared >= F.col("need")).select("doc_id", "text_hash", "label", (shared / F.col("size")).alias("containment"))
-    matched = matched.unionByName(_window_matches(docs, templates, need, threshold))
-    return matched.groupBy("doc_id", "text_hash", "label").agg(F.max("containment").alias("containment"))
+def _prefixes(hits: DataFrame, templates: DataFrame) -> DataFrame:
+    """The templates once for each token of their prefix, the rarest tokens of the corpus first."""
+    counted = hits.select(F.explode("hits.token").alias("token")).groupBy("token").count()  # a row for each token of the templates
+    each = templates.select("*", F.explode("tokens").alias("token")).join(F.broadcast(counted), "token", "left")
+    ranked = each.withColumn("place", F.row_number().over(Window.partitionBy("template").orderBy(F.coalesce("count", F.lit(0)), "token")))
+    prefix = ranked.where(F.col("place") <= F.size("tokens") - F.col("need") + 1)
+    whole = prefix.groupBy("template").agg(F.collect_list("token").alias("prefix"))
+    return prefix.join(whole, "template").select("token", "template", "label", "tokens", "need", "span", "prefix")
+
+
+def template_matches(hits: DataFrame, templates: DataFrame) -> DataFrame:
+    """doc_id, text_hash, label, containment of the best block of each row and template that match."""
+    prefixes = stored(_prefixes(hits, templates), "license-prefixes")
+    some = hits.where(F.size("hits") > 0).select("doc_id", "text_hash", "hits", F.array_distinct("hits.token").alias("held"))
+    each = some.select("*", F.explode("held").alias("token")).join(F.broadcast(prefixes), "token")
+    once = F.get(F.array_intersect("prefix", "held"), F.lit(0)) == F.col("token")  # each pair at one of its shared prefix tokens
+    pairs = each.where(once & (F.size(F.array_intersect("tokens", "held")) >= F.col("need")))
+    own = F.filter("hits", lambda h: F.array_contains(F.col("tokens"), h["token"]))
+    need, span = F.col("need"), F.col("span")
+
+    def shared(hits, h, i):
+        block = F.filter(F.slice(hits, i + 1, span), lambda x: x["at"] < h["at"] + span)
+        enough = F.get(hits, i + need - 1)["at"] < h["at"] + span
+        return F.when(enough, F.size(F.array_distinct(F.transform(block, lambda x: x["token"])))).otherwise(0)
+
+    # the template's hits are bound once, as the only element of an array: as a column they would be found anew for every hit
+    best = F.transform(F.array(own), lambda hits: F.array_max(F.transform(hits, lambda h, i: shared(hits, h, i))))
+    pairs = pairs.select("doc_id", "text_hash", "label", "need", F.size("tokens").alias("size"), F.get(best, F.lit(0)).alias("shared"))
+    return pairs.where(F.col("shared") >= F.col("need")).select("doc_id", "text_hash", "label", (F.col("shared") / F.col("size")).alias("containment"))
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row."""
-    found = template_matches(docs, templates, threshold).groupBy(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash")).agg(
+    table = template_table(docs.sparkSession, templates, threshold)
+    vocabulary = sorted({w for _, text in templates for w in text.split()} | {w for p in PHRASES for w in p.split()})
+    hits = stored(word_hits(docs, vocabulary), "license-hits")
+    found = template_matches(hits, table).groupBy(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash")).agg(
         F.collect_set("label").alias("found"), F.max("containment").alias("best")
     )
-    base = base_scan(docs)
+    base = base_scan(hits)
     rows = base.join(found, base["doc_id"].eqNullSafe(found["m_id"]) & base["text_hash"].eqNullSafe(found["m_hash"]), "left")
     labels = F.array_union("base", F.coalesce("found", F.array().cast("array<string>")))
     return rows.select(
@@ -173,12 +167,13 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
 
 
 def oracle(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """DuckDB SQL of ``license_scan``: every line against every template."""
-    rows = []
-    for label, text in templates:
+    """DuckDB SQL of ``license_scan``: the block that begins at every hit against every template."""
+    rows, vocabulary = [], set()
+    for n, (label, text) in enumerate(templates):
         tokens = sorted(set(text.split()))
+        vocabulary |= set(tokens)
         listed = ", ".join(f"'{t}'" for t in tokens)
-        rows.append(f"('{label}', [{listed}], {max(1, math.ceil(threshold * len(tokens) - 1e-9))})")
+        rows.append(f"({n}, '{label}', [{listed}], {max(1, math.ceil(threshold * len(tokens) - 1e-9))}, {math.ceil(len(text.split()) / threshold - 1e-9)})")
     return rf"""
 WITH lowered AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
@@ -195,15 +190,19 @@ found AS (
 base AS (
   SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, list_distinct(list(label)) AS ls
   FROM found WHERE label IS NOT NULL GROUP BY doc_id),
-templates(label, tokens, need) AS (VALUES {", ".join(rows)}),
+templates(template, label, tokens, need, span) AS (VALUES {", ".join(rows)}),
+spread AS (
+  SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM worded),
+hits AS (
+  SELECT doc_id, token, pos, template, label, need, span, len(tokens) AS size
+  FROM spread JOIN templates ON list_contains(tokens, token)
+  WHERE token IN ({", ".join(f"'{t}'" for t in sorted(vocabulary))})),
 blocks AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS b
-  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM lowered)),
-matches AS (
-  SELECT doc_id, label, max(len(list_intersect(b, tokens)) / len(tokens)) AS c
-  FROM blocks, templates WHERE len(list_intersect(b, tokens)) >= need GROUP BY doc_id, label),
+  SELECT a.doc_id, a.label, a.template, a.pos, a.size, count(DISTINCT b.token) AS shared
+  FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.template = b.template AND b.pos >= a.pos AND b.pos < a.pos + a.span
+  GROUP BY ALL HAVING count(DISTINCT b.token) >= any_value(a.need)),
 method AS (
-  SELECT doc_id, list(label) AS ls, max(c) AS best FROM matches GROUP BY doc_id)
+  SELECT doc_id, list_distinct(list(label)) AS ls, max(shared / size) AS best FROM blocks GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base,
        CAST(base.lo AS BIGINT) AS first_word, CAST(base.hi AS BIGINT) AS last_word,
        array_to_string(list_sort(coalesce(base.ls, [])), ',') AS base_labels,

@@ -1,29 +1,8 @@
-import math
-import random
-import re
 import textwrap
 
 from likeness.llm import license_scan
 
 
-def words_of(text):
-    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
-
-
-def brute(text):
-    """Labels and score over all lines and all windows of words."""
-    lines, best = [words_of(line) for line in text.split("\n")], {}
-    for label, template in license_scan.TEMPLATES:
-        t = set(template.split())
-        span = math.ceil(len(template.split()) / 0.8 - 1e-9)
-        words = [w if len(t & set(line)) < 0.8 * len(t) - 1e-9 else "" for line in lines for w in line]
-        blocks = lines + [words[i : i + span] for i in range(len(words))]
-        share = max((len(t & set(b)) / len(t) for b in blocks), default=0.0)
-        if share >= 0.8 - 1e-9:
-            best[label] = share
-    return ",".join(sorted(best)), max(best.values(), default=0.0)
-
-
 def test_wrapped_notices_are_found(spark):
     rows = []
     for label, template in license_scan.TEMPLATES:
@@ -34,25 +13,10 @@ def test_wrapped_notices_are_found(spark):
     docs = spark.createDataFrame(rows, "doc_id long, label string, width long, text string").repartition(3)
     got = {r.doc_id: r for r in license_scan.license_scan(docs).collect()}
     assert not [(i, label) for i, label, *_ in rows if label not in got[i].labels.split(",")]
-    # no line of a narrow notice matches alone, so the whole notice is the best block
-    assert all(got[i].score == 1.0 for i, _, width, _ in rows if width == 28)
+    assert all(got[i].score == 1.0 for i, *_ in rows)
 
 
-def test_windows_match_brute_force(spark):
-    rng = random.Random(5)
-    rows = []
-    for i in range(120):
-        _, template = rng.choice(license_scan.TEMPLATES)
-        words = []
-        for w in template.split():
-            words += [w] * (rng.random() > 0.12) + ["foreign"] * (rng.random() < 0.15)
-        words = [rng.choice(["the", "of", "and", "use", "far"]) for _ in range(rng.randint(0, 40))] + words
-        rows.append((i, "".join(w + rng.choice(" \n   ") for w in words)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    # base phrases give labels of their own, so the method alone is compared
-    found = {}
-    for r in license_scan.template_matches(docs).collect():
-        found.setdefault(r.doc_id, {})[r.label] = r.containment
-    for i, text in rows:
-        have = found.get(i, {})
-        assert (",".join(sorted(have)), max(have.values(), default=0.0)) == brute(text), text
+def test_templates_are_a_parameter(spark):
+    docs = spark.createDataFrame([(1, "All rights of the house are kept by the house."), (2, "rights kept")], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_scan(docs, (("house", "all rights of the house are kept"),)).collect()}
+    assert got == {1: ("house", 1.0), 2: ("", 0.0)}
