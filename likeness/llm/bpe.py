@@ -5,9 +5,9 @@
 in a bounded cache. ``Transducer`` gives counts: the vocabulary compiled to a deterministic
 finite-state transducer whose transitions carry emitted-token counts.
 
-Texts outside the splitter's alphabet (special strings, code points whose normal form or class may
-differ between Unicode versions) go whole to the ``tokenizers`` library, so every result is the
-library's.
+Words with code points outside the splitter's alphabet (whose normal form or class may differ between
+Unicode versions) go to the ``tokenizers`` library, one stretch between ASCII white space at a time;
+texts with special strings go there whole. So every result is the library's.
 """
 
 from __future__ import annotations
@@ -19,13 +19,15 @@ import unicodedata
 
 import numpy as np
 
-from .words import IntTable, span_hashes
+from .words import IntTable, mix, span_hashes
 
 END = 256
-#: Symbols a lane of the lockstep run reads.
-CHUNK = 512
-#: Compiled transitions kept by one worker; beyond it the transducer starts anew.
-MOST_TRANSITIONS = 400_000
+#: Symbols of a chunk; the chunks of a stream are read side by side.
+CHUNK = 64
+#: Symbols read at once; a longer stream goes on from the state that the part before left.
+SEGMENT = 1 << 19
+#: Compiled transitions kept by one worker; beyond it the transducer is compiled anew as needed.
+MOST_TRANSITIONS = 1_000_000
 #: Distinct words whose result one worker keeps; beyond it the table starts anew.
 MOST_WORDS = 1_500_000
 
@@ -34,6 +36,9 @@ SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 _UNSAFE = re.compile(
     "<\\||[İΣ֐-᷿ἀ-῿Ⰰ-⿿㄀-ㄯ㄰-㆏ㆠ-㏿ꀀ-꯿힤-\U0010ffff]"
 )
+_STRETCH = re.compile("[^\t-\r ]+")
+#: Tells a stretch for the library from a word of the same bytes.
+_RAW_MARK = np.int64(0x2A65B1D3C97F4E81)
 #: A text of these bytes only has no unsafe code point.
 _PLAIN_BYTES = bytes(b for b in range(256) if b not in (0xC4, 0xCE) and b < 0xD6)
 
@@ -114,28 +119,48 @@ class Words:
         return starts, ends
 
     @staticmethod
-    def normal(text: str) -> bytes | None:
-        """Normalised bytes, or None for a text that the library itself must read."""
+    def normal(text: str) -> tuple[bytes | None, list[tuple[int, int]]]:
+        """(normalised bytes, spans in them that the library must read); None if it must read the whole text."""
+        if "<|" in text:
+            return None, []
         if not text.isascii():
             if text.encode().translate(None, _PLAIN_BYTES) and _UNSAFE.search(text):
-                return None
+                parts, spans, size, at = [], [], 0, 0
+                for m in _STRETCH.finditer(text):
+                    if _UNSAFE.search(m.group()):
+                        before, raw = unicodedata.normalize("NFC", text[at : m.start()]).lower().encode(), m.group().encode()
+                        spans.append((size + len(before), size + len(before) + len(raw)))
+                        parts += [before, raw]
+                        size, at = size + len(before) + len(raw), m.end()
+                parts.append(unicodedata.normalize("NFC", text[at:]).lower().encode())
+                return b"".join(parts), spans
             text = unicodedata.normalize("NFC", text)
-        if "<|" in text:
-            return None
-        return text.lower().encode()
-
+        return text.lower().encode(), []
 
     def split(self, texts: list[str]):
-        """(bytes, word starts, word ends, text of each word, texts for the library)."""
+        """(bytes, word starts, word ends, word keys, whether the library must read the word, text of each word, texts for the library)."""
         parts = [self.normal(t) for t in texts]
-        own = [i for i, p in enumerate(parts) if p is None]
-        parts = [p if p is not None else b"" for p in parts]
-        data = np.frombuffer(b"\n".join(parts), np.uint8)
-        sizes = np.array([len(p) + 1 for p in parts], np.int64)
+        own = [i for i, (p, _) in enumerate(parts) if p is None]
+        data = np.frombuffer(b"\n".join([p or b"" for p, _ in parts]), np.uint8)
+        sizes = np.array([len(p or b"") + 1 for p, _ in parts], np.int64)
         begins = np.cumsum(sizes) - sizes
         starts, ends = self.words(data)
+        spans = [(int(begins[i]) + a, int(begins[i]) + b) for i, (_, each) in enumerate(parts) for a, b in each]
+        raw = np.zeros(len(starts), bool)
+        if spans:
+            low, high = np.array(spans).T
+            before = np.searchsorted(low, starts, side="right") - 1
+            free = (before < 0) | (starts >= high[before])
+            starts, ends = np.concatenate([starts[free], low]), np.concatenate([ends[free], high])
+            order = np.argsort(starts, kind="stable")
+            starts, ends, raw = starts[order], ends[order], order >= int(free.sum())
+        keys = span_hashes(data, starts, ends)
+        keys[raw] ^= _RAW_MARK
         each = np.diff(np.append(np.searchsorted(starts, begins), len(starts)))
-        return data, starts, ends, np.repeat(np.arange(len(texts)), each), own
+        return data, starts, ends, keys, raw, np.repeat(np.arange(len(texts)), each), own
+
+    def library_ids(self, raw: bytes) -> list[int]:
+        return self.library.encode(raw.decode(), add_special_tokens=False).ids
 
 
 class Encoder(Words):
@@ -152,9 +177,14 @@ class Encoder(Words):
         self.begin, self.known = np.zeros(1, np.int64), 0  # where the ids of word k begin
         self.flat = np.zeros(1 << 16, np.uint32)
 
-    def _learn(self, words: list[bytes], keys: np.ndarray) -> None:
-        texts = ["".join([self.letters[b] for b in w]) if not w.isascii() or not w.decode().isprintable() else w.decode() for w in words]
-        tokens = [[t.id for t in self.bpe.tokenize(t)] for t in texts]
+    def _ids_of(self, word: bytes, raw: bool) -> list[int]:
+        if raw:
+            return self.library_ids(word)
+        plain = word.isascii() and word.decode().isprintable()
+        return [t.id for t in self.bpe.tokenize(word.decode() if plain else "".join([self.letters[b] for b in word]))]
+
+    def _learn(self, words: list[tuple[bytes, bool]], keys: np.ndarray) -> None:
+        tokens = [self._ids_of(*w) for w in words]
         sizes = np.array([len(t) for t in tokens], np.int64)
         ids = np.array([i for t in tokens for i in t], np.uint32)
         base = int(self.begin[self.known])
@@ -167,17 +197,16 @@ class Encoder(Words):
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text as uint32 arrays."""
-        data, starts, ends, word_text, own = self.split(texts)
+        data, starts, ends, keys, alone, word_text, own = self.split(texts)
         if len(starts):
             if self.known > self.most_words:
                 self._clear()
-            keys = span_hashes(data, starts, ends)
             word, missing = self.table.find(keys)
             if len(missing):
                 new, first = np.unique(keys[missing], return_index=True)
                 raw = data.tobytes()
                 at = missing[first]
-                self._learn([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], new)
+                self._learn([(raw[a:b], r) for a, b, r in zip(starts[at].tolist(), ends[at].tolist(), alone[at].tolist(), strict=True)], new)
                 word[missing], _ = self.table.find(keys[missing])
             n = self.begin[word + 1] - self.begin[word]
             done = np.cumsum(n)
@@ -195,10 +224,11 @@ class Transducer(Words):
     """Token counts of whole texts by a compiled finite-state transducer.
 
     Reading a word byte by byte, the token that ends the encoding of each prefix is unique, and it
-    depends on the longest suffix that begins some token together with the last tokens at the
-    suffix boundaries: that is the transducer's state. A transition carries the change of the token
-    count. States are compiled when a word first needs them. The counts of words met before are
-    kept in a bounded table, so only words that are new to a worker are read.
+    depends on the longest suffix that begins some token (a node of the token trie) together with the
+    last tokens at the suffix boundaries: that is the transducer's state. A transition carries the
+    change of the token count. Transitions are compiled when a word first needs them, all that one
+    step of the lanes needs at once. The counts of words met before are kept in a bounded table, so
+    only words that are new to a worker are read.
     """
 
     def __init__(self, path: str, most_words: int = MOST_WORDS):
@@ -206,8 +236,8 @@ class Transducer(Words):
         model, self.most_words, self.seen = self.model, most_words, IntTable()
         letter = {c: b for b, c in enumerate(self.letters)}
         vocab = model["vocab"]
-        self.children: list[dict[int, int]] = [{}]
-        self.token_at = [-1]
+        children: list[dict[int, int]] = [{}]
+        token_at = [-1]
         for text, i in vocab.items():
             whole = text.endswith("</w>") and len(text) > 4
             body = text[:-4] if whole else text
@@ -216,231 +246,293 @@ class Transducer(Words):
             seq = [letter[c] for c in body] + [END] * whole
             node = 0
             for c in seq:
-                nxt = self.children[node].get(c)
+                nxt = children[node].get(c)
                 if nxt is None:
-                    nxt = self.children[node][c] = len(self.children)
-                    self.children.append({})
-                    self.token_at.append(-1)
+                    nxt = children[node][c] = len(children)
+                    children.append({})
+                    token_at.append(-1)
                 node = nxt
-            self.token_at[node] = i
-        self.rank: dict[tuple[int, int], int] = {}
-        self.made: dict[int, tuple[int, int, int]] = {}  # token: rank of its merge, left, right
+            token_at[node] = i
+        self.token_at = np.array(token_at, np.int32)
+        n = max(vocab.values()) + 1
+        # of each token the rank of its merge (-1: none), and its two parts
+        self.made_rank, self.made_left, self.made_right = (np.full(n, -1, np.int64) for _ in range(3))
+        rank: dict[int, int] = {}
         for r, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, (list, tuple)) else pair.split(" ")
-            pair_ids, whole = (vocab[a], vocab[b]), vocab[a + b]
-            self.rank.setdefault(pair_ids, r)
-            self.made.setdefault(whole, (r, *pair_ids))
-        self._link()
-        self._fits: dict[tuple[int, int], bool] = {}
+            left, right, whole = vocab[a], vocab[b], vocab[a + b]
+            rank.setdefault(left << 24 | right, r)
+            if self.made_rank[whole] < 0:
+                self.made_rank[whole], self.made_left[whole], self.made_right[whole] = r, left, right
+        self.rank = IntTable()
+        self.rank.insert(np.array(list(rank), np.int64), np.array(list(rank.values()), np.int32))
+        self._link(children)
         self._reset()
 
-    def _link(self) -> None:
-        """Suffix links of the token trie, breadth first."""
-        n = len(self.children)
-        self.fail, self.depth = [0] * n, [0] * n
-        row = list(self.children[0].values())
+    def _link(self, children: list[dict[int, int]]) -> None:
+        """Suffix links of the token trie, breadth first, and each node's chain of suffixes, shortest first."""
+        n = len(children)
+        fail, depth, chains = [0] * n, [0] * n, [()] * n
+        row = list(children[0].values())
         for m in row:
-            self.depth[m] = 1
+            depth[m], chains[m] = 1, (m,)
         while row:
             below = []
             for node in row:
-                for c, m in self.children[node].items():
-                    self.depth[m] = self.depth[node] + 1
-                    f = self.fail[node]
-                    while f and c not in self.children[f]:
-                        f = self.fail[f]
-                    self.fail[m] = self.children[f].get(c, 0)
+                for c, m in children[node].items():
+                    depth[m] = depth[node] + 1
+                    f = fail[node]
+                    while f and c not in children[f]:
+                        f = fail[f]
+                    fail[m] = children[f].get(c, 0)
+                    chains[m] = (*chains[fail[m]], m)
                     below.append(m)
             row = below
-
-    def fits(self, u: int, t: int) -> bool:
+        self.fail, self.depth = np.array(fail), np.array(depth)
+        self.chain_size = np.array([len(c) for c in chains])
+        self.chain_begin = np.cumsum(self.chain_size) - self.chain_size
+        self.chain = np.array([m for c in chains for m in c])
+        keys = np.array([node * 257 + c for node, d in enumerate(children) for c in d], np.int64)
+        self.edges = IntTable()
+        self.edges.insert(keys, np.array([m for d in children for m in d.values()], np.int32))
+
+    def _fits(self, u: np.ndarray, t: np.ndarray) -> np.ndarray:
         """Whether encoding the bytes of token u followed by token t gives exactly [u, t].
 
         The merges are undone along the border, latest first; the border holds if at no stage
         the two tokens that face each other would have merged before the merge undone last.
         """
-        key = (u, t)
-        known = self._fits.get(key)
-        if known is not None:
-            return known
-        left, right, bare = u, t, (-1, -1, -1)
-        limit, good = 1 << 40, True
-        while True:
-            r = self.rank.get((left, right))
-            if r is not None and r < limit:
-                good = False
-                break
-            ml, mr = self.made.get(left, bare), self.made.get(right, bare)
-            if ml[0] < 0 and mr[0] < 0:
-                break
-            if ml[0] > mr[0]:
-                limit, left = ml[0], ml[2]
-            else:  # of equal merges the left one comes first, so one across the border precedes the right one
-                limit, right = mr[0] + 1, mr[1]
-        self._fits[key] = good
-        return good
+        key, back = np.unique(u.astype(np.int64) << 24 | t, return_inverse=True)
+        known, missing = self.fit_table.find(key)
+        if len(missing):
+            left, right = key[missing] >> 24, key[missing] & 0xFFFFFF
+            limit, good, todo = np.full(len(missing), 1 << 40), np.ones(len(missing), bool), np.arange(len(missing))
+            while len(todo):
+                rank, none = self.rank.find(left[todo] << 24 | right[todo])
+                merges = rank < limit[todo]
+                merges[none] = False
+                good[todo[merges]] = False
+                todo = todo[~merges]
+                of_left, of_right = self.made_rank[left[todo]], self.made_rank[right[todo]]
+                some = (of_left >= 0) | (of_right >= 0)
+                todo, of_left, of_right = todo[some], of_left[some], of_right[some]
+                later = of_left > of_right
+                # of equal merges the left one comes first, so one across the border precedes the right one
+                limit[todo] = np.where(later, of_left, of_right + 1)
+                left[todo[later]] = self.made_right[left[todo[later]]]
+                right[todo[~later]] = self.made_left[right[todo[~later]]]
+            self.fit_table.insert(key[missing], good.astype(np.int32))
+            known[missing] = good
+        return known[back].astype(bool)
 
     # -- compilation on demand ------------------------------------------------------------------
 
-    def _reset(self) -> None:
-        start = (0, ((0, -1, 0),))
-        self.states, self.state_id = [start], {start: 0}
-        self.delta = np.zeros(1 << 16, np.int16)
-        self.end_delta = np.full(1 << 16, -32768, np.int32)
-        self.next = IntTable()
-        self._fits.clear()
-
-    def _step(self, state, c: int):
-        """(next state, change of the count) on reading symbol c."""
-        node, entries = state
-        n = node
-        while n and c not in self.children[n]:
-            n = self.fail[n]
-        n = self.children[n].get(c, 0)
-        look = {d: (u, k) for d, u, k in entries}
-        f, token, change = n, -1, 0
-        while f:
-            t = self.token_at[f]
-            if t >= 0:
-                e = look.get(self.depth[f] - 1)
-                if e is not None and (e[0] < 0 or self.fits(e[0], t)):
-                    token, change = t, e[1] + 1
-                    break
-            f = self.fail[f]
-        if token < 0:
-            raise ValueError(f"no token ends with symbol {c}")
-        if c == END:
-            return None, change
-        kept, f = [(0, token, 0)], n
-        while f:
-            e = look.get(self.depth[f] - 1)
-            kept.append((self.depth[f], e[0], e[1] - change))
-            f = self.fail[f]
-        return (n, tuple(kept)), change
-
-    def _compile(self, keys: np.ndarray) -> None:
-        """Add the transitions state * 256 + byte."""
-        keys = np.unique(keys)
-        values = np.zeros(len(keys), np.int32)
-        for i, key in enumerate(keys.tolist()):
-            state, change = self._step(self.states[key >> 8], key & 255)
-            k = self.state_id.get(state)
-            if k is None:
-                k = self.state_id[state] = len(self.states)
-                self.states.append(state)
-                if k >= len(self.delta):
-                    self.delta = np.concatenate([self.delta, np.zeros(k, np.int16)])
-                    self.end_delta = np.concatenate([self.end_delta, np.full(k, -32768, np.int32)])
-                self.delta[k] = change
-            values[i] = k
-        self.next.insert(keys, values)
+    def _reset(self, keep: int = 0) -> int:
+        """Forget all transitions; the new number of the state ``keep``."""
+        kept = None
+        if keep:
+            at = slice(int(self.begin[keep]), int(self.begin[keep]) + int(self.chain_size[self.node[keep]]) + 1)
+            kept = int(self.node[keep]), self.token[at].copy(), self.count[at].copy(), int(self.delta[keep])
+        # state 0 is the start of a word: no token before it
+        self.n_states, self.n_entries = 1, 1
+        self.node, self.begin = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64)
+        self.delta, self.end_delta = np.zeros(1 << 12, np.int16), np.full(1 << 12, -32768, np.int16)
+        self.token, self.count = np.full(1 << 14, -1, np.int32), np.zeros(1 << 14, np.int16)
+        self.next, self.state_table, self.fit_table = IntTable(), IntTable(), IntTable()
+        if kept is None:
+            return 0
+        node, token, count, delta = kept
+        return int(self._interned(np.array([node]), token[:1], np.zeros(len(token) - 1, np.int64), token[1:], count[1:], np.array([delta]))[0])
+
+    def _goto(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Node of the longest suffix that begins a token, after one more symbol."""
+        n, out, todo = node.astype(np.int64), np.zeros(len(node), np.int64), np.arange(len(node))
+        while len(todo):
+            child, missing = self.edges.find(n[todo] * 257 + symbol[todo])
+            hit = np.ones(len(todo), bool)
+            hit[missing] = False
+            out[todo[hit]] = child[hit]
+            todo = todo[~hit]
+            todo = todo[n[todo] > 0]
+            n[todo] = self.fail[n[todo]]
+        return out
+
+    def _advance(self, state: np.ndarray, symbol: np.ndarray):
+        """What reading one symbol leads to from each state.
+
+        Returns (node, last token, owner, token, count, change): owner, token and count are the rows of
+        the node's suffixes, shortest first; the counts are relative to the place after the symbol.
+        """
+        items = np.arange(len(state))
+        old = self.node[state]
+        size = self.chain_size[old] + 1
+        owner, within = _spread(size)
+        entry = self.begin[state][owner] + within
+        depth = np.where(within > 0, self.depth[self.chain[np.maximum(self.chain_begin[old][owner] + within - 1, 0)]], 0)
+        held = owner << 12 | depth
+        node = self._goto(old, symbol)
+        size = self.chain_size[node]
+        if not size.all():
+            raise ValueError(f"no token ends with symbol {symbol[size == 0][0]}")
+        owner, within = _spread(size)
+        suffix = self.chain[self.chain_begin[node][owner] + within]
+        # what is known at the place where the suffix begins
+        entry = entry[np.searchsorted(held, owner << 12 | (self.depth[suffix] - 1))]
+        before, count, token = self.token[entry], self.count[entry].astype(np.int64), self.token_at[suffix]
+        ends = token >= 0
+        ask = np.flatnonzero(ends & (before >= 0))
+        ends[ask] = self._fits(before[ask], token[ask])
+        best = np.maximum.reduceat(np.where(ends, np.arange(len(ends)), -1), np.cumsum(size) - size)
+        if (best < 0).any():
+            raise ValueError(f"no token ends with symbol {symbol[best < 0][0]}")
+        change = count[best] + 1
+        return node, token[best], items[owner], before, count - change[owner], change
+
+    def _interned(self, node, last, owner, token, count, change) -> np.ndarray:
+        """Numbers of the states with these parts; new ones are added."""
+        size = self.chain_size[node]
+        begin = np.cumsum(size) - size
+        place = np.arange(len(owner)) - begin[owner]
+        rows = mix(mix(token.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)) + count.astype(np.int64).astype(np.uint64))
+        whole = mix(node.astype(np.uint64) << np.uint64(32) | last.astype(np.uint64)) + np.add.reduceat(rows, begin)
+        key, first, back = np.unique((mix(whole) >> np.uint64(1)).astype(np.int64), return_index=True, return_inverse=True)
+        number, missing = self.state_table.find(key)
+        if len(missing):
+            pick = first[missing]
+            new = np.arange(self.n_states, self.n_states + len(pick))
+            lengths = size[pick] + 1
+            to = self.n_entries + np.cumsum(lengths) - lengths
+            self._room(self.n_states + len(pick), self.n_entries + int(lengths.sum()))
+            self.node[new], self.begin[new], self.delta[new] = node[pick], to, change[pick]
+            self.token[to], self.count[to] = last[pick], 0
+            of, within = _spread(size[pick])
+            self.token[to[of] + 1 + within] = token[begin[pick][of] + within]
+            self.count[to[of] + 1 + within] = count[begin[pick][of] + within]
+            self.n_states += len(pick)
+            self.n_entries += int(lengths.sum())
+            self.state_table.insert(key[missing], new.astype(np.int32))
+            number[missing] = new
+        return number[back]
+
+    def _room(self, states: int, entries: int) -> None:
+        while states > len(self.node):
+            for name, fill in (("node", 0), ("begin", 0), ("delta", 0), ("end_delta", -32768)):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.full(len(old), fill, old.dtype)]))
+        while entries > len(self.token):
+            for name in ("token", "count"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.zeros(len(old), old.dtype)]))
 
     def _go(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Targets of byte transitions; new ones are compiled."""
         keys = (state.astype(np.int64) << 8) | symbol
         out, missing = self.next.find(keys)
         if len(missing):
-            self._compile(keys[missing])
-            out[missing], _ = self.next.find(keys[missing])
+            new, back = np.unique(keys[missing], return_inverse=True)
+            to = self._interned(*self._advance(new >> 8, new & 255))
+            self.next.insert(new, to)
+            out[missing] = to[back]
         return out
 
     def _ends(self, state: np.ndarray) -> np.ndarray:
         """Changes of the count at the end of a word."""
-        new = state[self.end_delta[state] == -32768]
-        for s in np.unique(new).tolist():
-            self.end_delta[s] = self._step(self.states[s], END)[1]
+        new = np.unique(state[self.end_delta[state] == -32768])
+        if len(new):
+            self.end_delta[new] = self._advance(new, np.full(len(new), END))[-1]
         return self.end_delta[state]
 
-    def _run(self, stream: np.ndarray) -> np.ndarray:
+    def _run(self, stream: np.ndarray, entry: int) -> np.ndarray:
         """The state after each symbol (before END: the state that END leaves).
 
-        The stream is cut into chunks that are read side by side. After its first END a chunk is
-        in the start state whatever came before, so its map of states is constant from there on:
-        that part runs first. A prefix scan over the chunk maps (a constant map absorbs all before
-        it) then gives each chunk's entry state, and the heads run from it.
+        The stream is cut into chunks that are read side by side, and each chunk's state map is known
+        for the entry states met so far. After its first END a chunk is in the start state whatever
+        came before, so from there on its map is constant: that part runs first. The rest is run from
+        the exit of the chunk before where that is known, else from the start state. Then the maps are
+        composed: every chunk takes the exit of the one before as its entry, and those whose map lacks
+        it are run again, all side by side, until they are in the state of their earlier run at the same
+        place, from where on both are equal. It ends when every chunk's map has its entry. Runs meet
+        after a few tokens, so few rounds are needed, and the first chunk is right from the beginning.
         """
         n = len(stream)
         rows = -(-n // CHUNK)
-        padded = np.full(rows * CHUNK, END, np.uint16)
-        padded[:n] = stream
-        grid = padded.reshape(rows, CHUNK)
+        grid = np.full(rows * CHUNK, END, np.uint16)
+        grid[:n] = stream
+        grid = grid.reshape(rows, CHUNK)
         out = np.zeros((rows, CHUNK), np.int32)
         is_end = grid == END
         first = np.where(is_end.any(1), is_end.argmax(1), CHUNK)
-        columns, ends = np.ascontiguousarray(grid.T), np.ascontiguousarray(is_end.T)
-
-        def lockstep(lanes: np.ndarray, begin: np.ndarray, stop: np.ndarray, entry: np.ndarray) -> np.ndarray:
-            """Run lanes over [begin, stop) and return their exit states."""
-            state = np.zeros(rows, np.int32)
-            state[lanes] = entry
-            order = lanes[np.argsort(begin, kind="stable")]
-            sorted_begin, stop_of = np.sort(begin), np.zeros(rows, np.int64)
-            stop_of[lanes] = stop
-            active = lanes[:0]
-            taken = 0
-            for j in range(int(sorted_begin[0]) if len(lanes) else CHUNK, int(stop.max()) if len(lanes) else 0):
-                upto = int(np.searchsorted(sorted_begin, j, side="right"))
-                if upto > taken:
-                    active = np.concatenate([active, order[taken:upto]])
-                    taken = upto
-                if (live := stop_of[active] > j).size and not live.all():
-                    active = active[live]
-                e = ends[j][active]
-                now = state[active]
-                moved = active[~e]
-                state[moved] = self._go(now[~e], columns[j][moved])
-                out[moved, j] = state[moved]
-                done = active[e]
-                out[done, j] = now[e]
-                state[done] = 0
-            return state[lanes]
 
+        def side_by_side(lanes, begin, stop, state, again) -> tuple[np.ndarray, np.ndarray]:
+            """Run each lane over [begin, stop); (exit states, lanes that did not meet their earlier run)."""
+            state, apart = state.astype(np.int32), np.ones(len(lanes), bool)
+            for j in range(int(begin.min()), int(stop.max())):
+                on = np.flatnonzero(apart & (begin <= j) & (j < stop))
+                c = grid[lanes[on], j]
+                end = c == END
+                out[lanes[on[end]], j] = state[on[end]]
+                state[on[end]] = 0
+                on = on[~end]
+                to = self._go(state[on], c[~end])
+                if again:
+                    apart[on[out[lanes[on], j] == to]] = False
+                out[lanes[on], j] = state[on] = to
+            return state, apart
+
+        exits, known = np.zeros(rows, np.int32), first < CHUNK
         body = np.flatnonzero(first < CHUNK - 1)
-        exits = np.full(rows, -1, np.int32)
-        exits[first == CHUNK - 1] = 0
         if len(body):
-            exits[body] = lockstep(body, first[body] + 1, np.full(len(body), CHUNK), np.zeros(len(body), np.int32))
-        todo = np.arange(rows)
-        while len(todo):  # one round unless a word is longer than a chunk
-            entry = np.where(todo > 0, exits[todo - 1], 0)
-            ready = entry >= 0
-            now, begin = todo[ready], entry[ready]
-            stop = np.minimum(first[now] + 1, CHUNK)
-            left = lockstep(now, np.zeros(len(now), np.int64), stop, begin)
-            whole = first[now] >= CHUNK
-            exits[now[whole]] = left[whole]
-            todo = todo[~ready]
-        return out.reshape(-1)[:n]
+            exits[body], _ = side_by_side(body, first[body] + 1, np.full(len(body), CHUNK), np.zeros(len(body)), False)
+        taken, again = np.full(rows, -1, np.int32), False
+        while True:
+            entries = np.append(np.int32(entry), exits[:-1])
+            lanes = np.flatnonzero(entries != taken)
+            if not len(lanes):
+                return out.reshape(-1)[:n]
+            taken[lanes] = entries[lanes]
+            left, apart = side_by_side(lanes, np.zeros(len(lanes), np.int64), np.minimum(first[lanes] + 1, CHUNK), entries[lanes], again)
+            new = apart & ~known[lanes]
+            exits[lanes[new]] = left[new]
+            again = True
 
     def _counts_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Tokens of each of these words, read as one stream in which END closes each word."""
-        if self.next.filled > MOST_TRANSITIONS:
-            self._reset()
         lengths = ends - starts
         word_end = np.cumsum(lengths + 1) - 1
         stream = np.full(int(word_end[-1]) + 1, END, np.uint16)
         inside = np.ones(len(stream), bool)
         inside[word_end] = False
-        stream[inside] = data[np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))]
-        state = self._run(stream)
-        change = self.delta[state].astype(np.int64)
-        change[word_end] = self._ends(state[word_end])
-        total = np.cumsum(change)[word_end]
-        return np.diff(total, prepend=0)
+        owner, within = _spread(lengths)
+        stream[inside] = data[starts[owner] + within]
+        change, entry = np.zeros(len(stream), np.int64), 0
+        for at in range(0, len(stream), SEGMENT):
+            if self.next.filled > MOST_TRANSITIONS:
+                entry = self._reset(entry)
+            part = stream[at : at + SEGMENT]
+            state = self._run(part, entry)
+            here = self.delta[state].astype(np.int64)
+            done = np.flatnonzero(part == END)
+            here[done] = self._ends(state[done])
+            change[at : at + SEGMENT] = here
+            entry = 0 if part[-1] == END else int(state[-1])
+        return np.diff(np.cumsum(change)[word_end], prepend=0)
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
         out = np.zeros(len(texts), np.int64)
-        data, starts, ends, word_text, own = self.split(texts)
+        data, starts, ends, keys, alone, word_text, own = self.split(texts)
         if len(starts):
             if self.seen.filled > self.most_words:
                 self.seen = IntTable()
-            keys = span_hashes(data, starts, ends)
             n, missing = self.seen.find(keys)
             if len(missing):
                 new, first = np.unique(keys[missing], return_index=True)
                 at = missing[first]
-                self.seen.insert(new, self._counts_of(data, starts[at], ends[at]).astype(np.int32))
+                found, mine = np.zeros(len(new), np.int32), ~alone[at]
+                if mine.any():
+                    found[mine] = self._counts_of(data, starts[at[mine]], ends[at[mine]])
+                found[~mine] = [len(self.library_ids(data[a:b].tobytes())) for a, b in zip(starts[at[~mine]].tolist(), ends[at[~mine]].tolist(), strict=True)]
+                self.seen.insert(new, found)
                 n[missing], _ = self.seen.find(keys[missing])
             out += np.bincount(word_text, n, len(texts)).astype(np.int64)
         for i in own:
@@ -448,6 +540,13 @@ class Transducer(Words):
         return out
 
 
+def _spread(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, place in it) of the members of groups of these sizes."""
+    done = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return owner, np.arange(int(done[-1]) if len(done) else 0) - (done - sizes)[owner]
+
+
 _loaded: dict = {}
 
 

@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from likeness.llm import bpe
 from likeness.llm.bpe import Encoder, Transducer, vocabulary_path
 from likeness.llm.packing import OnlineBestFit, best_fit_packing
 from likeness.llm.token_counts import token_counts
@@ -38,6 +39,30 @@ def test_library_is_matched_on_any_text(machines, texts):
     check(machines, [t.encode("utf-8", "ignore").decode() for t in texts])
 
 
+ODD = ["😀", "שלום", "สวัสดีครับ", "Ελληνικά", "ΑΣ", "नमस्ते", "𝔘nicode", "한국어", "İstanbul", "ﬀ", "é", "\u0308x", "a\u200bb", "ሰላም", "plain", "it's"]
+
+
+def test_words_outside_the_alphabet_are_the_library_s(machines):
+    rng = random.Random(5)
+    check(machines, [" ".join(rng.choice(ODD) + rng.choice(["", "x", "'s", "!"]) for _ in range(30)) for _ in range(100)])
+    check(machines, ["".join(rng.choice([*ODD, " ", "\n", "\u3000", "\x85", "\u0301"]) for _ in range(30)) for _ in range(200)])
+    # only the stretches themselves go there
+    data, spans = machines[1].normal("Plain 😀x and שלום END")
+    assert [data[a:b].decode() for a, b in spans] == ["😀x", "שלום"] and data.startswith(b"plain ") and data.endswith(b" end")
+
+
+@pytest.mark.parametrize("segment", [bpe.SEGMENT, 200])
+def test_unbroken_texts_are_composed_of_chunks(machines, monkeypatch, segment):
+    monkeypatch.setattr(bpe, "SEGMENT", segment)
+    if segment == 200:
+        monkeypatch.setattr(bpe, "MOST_TRANSITIONS", 300)
+    transducer, library = Transducer(vocabulary_path()), machines[0].library
+    rng = random.Random(6)
+    for alphabet in ("a", "ab", "etaoinshr", "abcdefghijklmnopqrstuvwxyz", "éüß日本"):
+        texts = ["".join(rng.choice(alphabet) for _ in range(n)) for n in (1, 63, 64, 65, 127, 199, 200, 1000, 60_000 if segment > 200 else 3000)]
+        assert transducer.counts(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_small_caches_start_anew(machines):
     encoder, transducer = Encoder(vocabulary_path(), most_words=5), Transducer(vocabulary_path(), most_words=5)
     for n in range(4):
