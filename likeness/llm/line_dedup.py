@@ -3,8 +3,13 @@
 A line's key is the line without ASCII white space at its ends and with A-Z in lower case, kept as a
 128-bit hash. The reference table counts, for every key, the documents (rows) that have it; it takes
 insertions and deletions of documents as signed counts. The filters hold the keys whose count has
-reached the threshold, in shards of bounded size: a probe passes lines that may be frequent, the
-exact table then decides. A full shard lets everything pass, so the result never depends on it.
+reached the threshold, in as many shards of bounded size as their number needs: a probe passes lines
+that may be frequent, the exact table then decides. Filters that get too full after insertions are
+built anew from the table with more shards; at ``MOST_SHARDS`` a full shard lets everything pass, so
+the result never depends on the filters.
+
+The keys of the largest counts, ``HEAD_KEYS`` at most, are known to the probe itself. Their lines are
+decided there and dealt at random through the join, so no common line is a hot key of it.
 
 Each row is a document; a repeated row counts again and gets its own row back. Null and empty texts
 have one empty line, whose empty key is never dropped. An empty table gives no rows. ``line_dedup``
@@ -24,11 +29,16 @@ from pyspark.sql import functions as F
 
 from ._common import doc_id_of, parallelism, ship, stored, text_of, text_slices
 from .cuckoo import CuckooFilter
+from .words import mix
 
 THRESHOLD = 10
-SHARDS = 64
-#: Most buckets of a shard's filter: 64 shards of 8 bytes a bucket are 32 MB at most.
+#: Most buckets of a shard's filter, 8 bytes each, and most shards: 64 MB of filters.
 SHARD_BUCKETS = 1 << 16
+MOST_SHARDS = 128
+#: Keys that a shard is planned for.
+SHARD_KEYS = 200_000
+#: A key with at least this share of all counted lines is in the head, so it has no more than 1 / share keys.
+HEAD_KEYS = 10_000
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _NO_KEY = bytes(16)
@@ -82,8 +92,25 @@ def _filters_of(batches):
         yield built()
 
 
-def _shard():
-    return F.pmod(F.col("hi"), F.lit(SHARDS)).cast("int")
+def _shard(shards: int):
+    return F.pmod(F.col("hi"), F.lit(shards)).cast("int")
+
+
+class _Head:
+    """Exact membership of the few most common keys."""
+
+    def __init__(self, keys: np.ndarray):
+        keys = keys[np.lexsort((keys[:, 0], keys[:, 1]))]
+        one = np.ones(len(keys), bool)  # keys that share a half are left to the table
+        one[1:] &= keys[1:, 1] != keys[:-1, 1]
+        one[:-1] &= keys[1:, 1] != keys[:-1, 1]
+        self.hi, self.lo = keys[one, 0], keys[one, 1]
+
+    def holds(self, both: np.ndarray) -> np.ndarray:
+        if not len(self.lo):
+            return np.zeros(len(both), bool)
+        at = np.minimum(np.searchsorted(self.lo, both[:, 1]), len(self.lo) - 1)
+        return (self.lo[at] == both[:, 1]) & (self.hi[at] == both[:, 0])
 
 
 @dataclass
@@ -92,12 +119,25 @@ class LineIndex:
 
     refs: DataFrame
     threshold: int
+    shards: int
     filters: dict[int, bytes]
 
     @classmethod
     def build(cls, docs: DataFrame, threshold: int = THRESHOLD) -> LineIndex:
-        refs = stored(_refs(docs), "line-refs")
-        return cls(refs, threshold, _build_filters(refs.where(F.col("n_docs") >= threshold)))
+        return cls.of(stored(_refs(docs), "line-refs"), threshold)
+
+    @classmethod
+    def of(cls, refs: DataFrame, threshold: int) -> LineIndex:
+        """The index of a stored reference table; filters are sized by the number of frequent keys."""
+        frequent = refs.where(F.col("n_docs") >= threshold)
+        shards = min(MOST_SHARDS, frequent.count() // SHARD_KEYS + 1)
+        return cls(refs, threshold, shards, _build_filters(frequent, shards))
+
+    def head(self) -> _Head:
+        """The keys of at least 1 / HEAD_KEYS of all counted lines."""
+        total = self.refs.agg(F.sum("n_docs")).first()[0] or 0
+        rows = self.refs.where(F.col("n_docs") >= max(self.threshold, -(-total // HEAD_KEYS))).select("hi", "lo").collect()
+        return _Head(np.array([tuple(r) for r in rows], np.int64).reshape(-1, 2))
 
     def insert(self, docs: DataFrame) -> LineIndex:
         return self._changed(docs, 1)
@@ -112,13 +152,16 @@ class LineIndex:
         both = stored(both.groupBy("hi", "lo").agg(F.sum("n_docs").alias("n_docs"), F.sum("was").alias("was")), "line-refs")
         refs = both.where("n_docs > 0").select("hi", "lo", "n_docs")
         t = self.threshold
-        crossed = both.where((F.col("n_docs") >= t) != (F.col("was") >= t)).select("hi", "lo", (F.col("n_docs") >= t).alias("enters"), _shard().alias("shard"))
-        return LineIndex(refs, t, self.filters | _update_filters(crossed, self.filters))
+        crossed = both.where((F.col("n_docs") >= t) != (F.col("was") >= t)).select("hi", "lo", (F.col("n_docs") >= t).alias("enters"), _shard(self.shards).alias("shard"))
+        filters = self.filters | _update_filters(crossed, self.filters)
+        if self.shards < MOST_SHARDS and any(raw[0] for raw in filters.values()):  # a filter is full
+            return LineIndex.of(stored(refs, "line-refs"), t)
+        return LineIndex(refs, t, self.shards, filters)
 
     def frequent_lines(self, docs: DataFrame) -> DataFrame:
         """doc_id, text_hash, lines: positions of the frequent lines of each distinct document."""
         spark = docs.sparkSession
-        shared = spark.sparkContext.broadcast(self.filters)
+        shared, shards, head = spark.sparkContext.broadcast(self.filters), self.shards, self.head()
 
         def probe(batches):
             filters = {s: CuckooFilter.from_bytes(raw) for s, raw in shared.value.items()}
@@ -129,21 +172,26 @@ class LineIndex:
                 row = np.repeat(np.arange(len(texts)), sizes)
                 place = np.concatenate([np.arange(n) for n in sizes])
                 hit = np.zeros(len(both), bool)
-                shards = both[:, 0] % SHARDS
+                shard = both[:, 0] % shards
                 for s, f in filters.items():
-                    mine = np.flatnonzero(shards == s)
+                    mine = np.flatnonzero(shard == s)
                     hit[mine] = f.contains(both[mine, 1])
                 hit &= (both != 0).any(1)
                 row, place, both = row[hit], place[hit], both[hit]
+                sure = head.holds(both)
+                # a sure line needs no key: it gets one of its own that no line has
+                both[sure, 0] = mix(rows.column(1).to_numpy()[row[sure]].astype(np.uint64) + place[sure].astype(np.uint64)).astype(np.int64)
+                both[sure, 1] = 0
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0).take(take), rows.column(1).take(take), pa.array(place.astype(np.int32)), pa.array(both[:, 0]), pa.array(both[:, 1])],
-                    names=["doc_id", "text_hash", "line", "hi", "lo"],
+                    [rows.column(0).take(take), rows.column(1).take(take), pa.array(place.astype(np.int32)), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(sure)],
+                    names=["doc_id", "text_hash", "line", "hi", "lo", "sure"],
                 )
 
-        maybe = _identified(docs).mapInArrow(probe, "doc_id long, text_hash long, line int, hi long, lo long")
-        exact = self.refs.where(F.col("n_docs") >= self.threshold).select("hi", "lo")
-        return maybe.join(exact, ["hi", "lo"]).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("lines"))
+        maybe = _identified(docs).mapInArrow(probe, "doc_id long, text_hash long, line int, hi long, lo long, sure boolean")
+        exact = self.refs.where(F.col("n_docs") >= self.threshold).select("hi", "lo", F.lit(True).alias("frequent"))
+        found = maybe.join(exact, ["hi", "lo"], "left").where("sure OR frequent")
+        return found.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("lines"))
 
 
 def _refs(docs: DataFrame) -> DataFrame:
@@ -151,8 +199,8 @@ def _refs(docs: DataFrame) -> DataFrame:
     return keys.groupBy("hi", "lo").agg(F.count("*").alias("n_docs"))
 
 
-def _build_filters(frequent: DataFrame) -> dict[int, bytes]:
-    rows = frequent.select(_shard().alias("shard"), "lo").repartition(min(SHARDS, parallelism(frequent.sparkSession)), "shard").sortWithinPartitions("shard")
+def _build_filters(frequent: DataFrame, shards: int) -> dict[int, bytes]:
+    rows = frequent.select(_shard(shards).alias("shard"), "lo").repartition(min(shards, parallelism(frequent.sparkSession)), "shard").sortWithinPartitions("shard")
     return {r["shard"]: bytes(r["filter"]) for r in rows.mapInArrow(_filters_of, "shard int, filter binary").collect()}
 
 
@@ -176,7 +224,7 @@ def _update_filters(crossed: DataFrame, filters: dict[int, bytes]) -> dict[int,
             f.saturated |= s in full
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([f.to_bytes()], pa.binary())], names=["shard", "filter"])
 
-    rows = crossed.repartition(min(SHARDS, parallelism(crossed.sparkSession)), "shard")
+    rows = crossed.repartition(parallelism(crossed.sparkSession), "shard")
     return {r["shard"]: bytes(r["filter"]) for r in rows.mapInArrow(run, "shard int, filter binary").collect()}
 
 
@@ -228,7 +276,10 @@ def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, index: Line
     whole = docs.select(F.struct("*").alias("row"), doc_id_of(docs).alias("doc_id"), F.xxhash64(text_of(docs)).alias("text_hash"))
     rows = _with_lines(whole, index.frequent_lines(docs))
     # lines are counted from 0 by transform's index; documents without frequent lines stay as they are
-    kept = F.array_join(F.filter(F.split(F.col("row.text"), "\n"), lambda _, i: ~F.array_contains(F.col("lines"), i)), "\n")
+    # the lines are bound once, as the only element of an array; the places that stay are a set difference
+    left = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "lines")
+    joined = F.transform(F.array(F.split(F.col("row.text"), "\n")), lambda parts: F.array_join(F.transform(left(parts), lambda i: F.get(parts, i)), "\n"))
+    kept = F.get(joined, F.lit(0))
     new = F.when(F.col("lines").isNull(), F.col("row.text")).otherwise(kept)
     size = F.when(F.col("lines").isNull(), F.col("row.n_chars")).otherwise(F.char_length(new)) if "n_chars" in docs.columns else F.lit(None)
     # in two steps: a column of ``docs`` may have the name of one used here

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from likeness.llm import line_dedup as line_dedup_module
 from likeness.llm import near_dedup, suffix_dedup
 from likeness.llm.bwt_intervals import repeated_starts
 from likeness.llm.cuckoo import CuckooFilter
@@ -64,6 +65,24 @@ def test_lines_match_brute_force_and_can_be_undone(spark, edge_docs, no_docs):
     assert all(r.n_chars == len(r.text or "") for r in kept.collect())
 
 
+@pytest.mark.parametrize("head", [1, 10_000])
+def test_full_filters_and_the_head_change_nothing(spark, monkeypatch, head):
+    for name, value in (("SHARD_KEYS", 30), ("SHARD_BUCKETS", 64), ("MOST_SHARDS", 8), ("HEAD_KEYS", head)):
+        monkeypatch.setattr(line_dedup_module, name, value)
+    rng = np.random.default_rng(12)
+    rows = [(i, "\n".join(["everywhere", *(f" Line {k}\t" for k in rng.integers(0, 700, 60))])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    index = LineIndex.build(docs, 10)
+    assert 1 < index.shards <= 8
+    assert as_rows(line_dedup(docs, 10, index)) == brute_lines(rows, 10)
+    more = [(1000 + i, "\n".join(f"new {k}" for k in range(3000))) for i in range(10)]
+    grown = index.insert(spark.createDataFrame(more, "doc_id long, text string"))
+    assert grown.shards == 8 and any(raw[0] for raw in grown.filters.values())  # too many keys for all shards
+    assert as_rows(line_dedup(docs, 10, grown)) == brute_lines(rows, 10)
+    back = grown.delete(spark.createDataFrame(more, "doc_id long, text string"))
+    assert as_rows(line_dedup(docs, 10, back)) == brute_lines(rows, 10)
+
+
 def test_dart_signatures_estimate_jaccard():
     rng = np.random.default_rng(2)
     for n, swap in ((20, 2), (400, 40), (9000, 900)):
