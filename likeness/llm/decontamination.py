@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SLICE_BYTES, doc_id_of, drop_stored, ship, stored, text_of, text_slices
+from ._common import doc_id_of, drop_stored, ship, stored, text_of, text_slices
 from .words import IntTable, span_hashes, texts_of
 
 THRESHOLD = 0.6
@@ -282,17 +282,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
         def run(batches, shared=shared):
             searcher = Searcher(shared.value, threshold, overlap)
-            for batch in batches:
-                texts = [t or "" for t in batch.column(k).to_pylist()]
+            for rows, texts in text_slices(batches, column=k):
                 keep = np.ones(len(texts), bool)
-                start, size = 0, 0
-                for i in range(len(texts) + 1):
-                    if i == len(texts) or (size and size + len(texts[i]) > SLICE_BYTES):
-                        for hit in searcher.search(texts[start:i]) if i > start else ():
-                            keep[start + hit[0]] = False
-                        start, size = i, 0
-                    size += len(texts[i]) if i < len(texts) else 0
-                yield batch.filter(pa.array(keep))
+                for hit in searcher.search(texts):
+                    keep[hit[0]] = False
+                yield rows.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

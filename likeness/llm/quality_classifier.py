@@ -7,7 +7,9 @@ Both are learned together. The layer is linear, so scoring adds one number for e
 before are kept in a bounded table.
 
 The model is fitted on a bounded sample of labelled rows (``MOST_TRAINING_ROWS`` documents with the
-smallest hashes of doc_id outside the held-out fold). Scores read the text only. Null or empty
+smallest hashes of doc_id outside the held-out fold; of rows with one doc_id the one with the smallest
+text hash), each with all its words. The executors count the sample's words and hash their parts; the
+driver gets those, not the texts. Scores read the text only. Null or empty
 texts have the zero vector and get the score of the bias. Labels with null quality are ignored;
 without both classes every score is the share of label 1 (1 without labels). Repeated rows each get
 their row; an empty table gives no rows.
@@ -19,16 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import doc_id_of, ship, text_of, text_slices
+from ._common import doc_id_of, drop_stored, ship, stored, text_of, text_slices
 from .words import IntTable, joined, mix, span_hashes, texts_of, word_spans
 
 #: Labelled documents that the model is fitted on, at most.
 MOST_TRAINING_ROWS = 3_000
-#: Words of one training document that enter the fit, spread evenly over the whole text.
-MOST_TRAINING_WORDS = 600
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 NGRAMS = (3, 4, 5)
@@ -115,42 +116,43 @@ class SubwordModel:
         return np.add.reduceat(self.weight[parts], np.cumsum(n) - n) / n
 
 
-@dataclass
-class TrainingDocument:
-    keys: np.ndarray  # place of each word in the sample's words
-    label: int
+def counted_words(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct word keys of each text in ascending order, and how often it has them."""
+    data, begins = joined(texts)
+    _, _, doc, keys = word_keys(data, begins)
+    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+    return [np.unique(keys[a:b], return_counts=True) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def distinct_parts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct word keys in ascending order, buckets of their parts, number of parts of each)."""
+    data, begins = joined(texts)
+    starts, ends, _, keys = word_keys(data, begins)
+    distinct, at = np.unique(keys, return_index=True)
+    if not len(distinct):
+        return distinct, np.zeros(0, np.int32), np.zeros(0, np.int64)
+    flat, n = word_parts(data, starts[at], ends[at], (distinct & 1).astype(bool))
+    return distinct, flat.astype(np.int32), n
+
 
+def fit(texts: list[str], labels: np.ndarray, **settings) -> SubwordModel:
+    """``fit_words`` for texts that are at hand."""
+    return fit_words(counted_words(texts), labels, *distinct_parts(texts), **settings)
 
-def fit(texts: list[str], labels: np.ndarray, steps: int = 800, rate: float = 1.5, batch: int = 32, seed: int = 7) -> SubwordModel:
-    """Softmax over averaged subword vectors, fitted by mini-batch gradient descent."""
+
+def fit_words(
+    documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, keys: np.ndarray, flat: np.ndarray, n: np.ndarray,
+    steps: int = 800, rate: float = 1.5, batch: int = 32, seed: int = 7,
+) -> SubwordModel:
+    """Softmax over averaged subword vectors, fitted by mini-batch gradient descent.
+
+    ``documents`` are word keys and counts; ``keys``, ``flat`` and ``n`` are the parts of all their words.
+    """
     share = float(np.clip(labels.mean(), 1e-6, 1 - 1e-6)) if len(labels) else 1 - 1e-6
     prior = float(np.log(share / (1 - share)))
     if not len(labels) or labels.min() == labels.max():
         return SubwordModel(np.zeros(BUCKETS), prior)
-    table: dict[int, int] = {}
-    parts, sizes, documents = [], [], []
-    for text, label in zip(texts, labels.tolist(), strict=True):
-        data, begins = joined([text])
-        starts, ends, _, keys = word_keys(data, begins)
-        if len(keys) > MOST_TRAINING_WORDS:
-            pick = np.linspace(0, len(keys) - 1, MOST_TRAINING_WORDS).astype(np.int64)
-            starts, ends, keys = starts[pick], ends[pick], keys[pick]
-        distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        places = np.empty(len(distinct), np.int64)
-        new = []
-        for i, k in enumerate(distinct.tolist()):
-            p = table.get(k)
-            if p is None:
-                p = table[k] = len(table)
-                new.append(i)
-            places[i] = p
-        if new:
-            at = where[new]
-            flat, n = word_parts(data, starts[at], ends[at], (keys[at] & 1).astype(bool))
-            parts.append(flat.astype(np.int32))
-            sizes.append(n)
-        documents.append(TrainingDocument(places[back], label))
-    flat, n = np.concatenate(parts) if parts else np.zeros(0, np.int32), np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+    documents = [(np.searchsorted(keys, k), c) for k, c in documents]
     begin = np.concatenate([[0], np.cumsum(n)])
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
@@ -160,14 +162,12 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 800, rate: float = 1.
         order = rng.permutation(len(documents))
         for at in range(0, len(order), batch):
             now = [documents[i] for i in order[at : at + batch]]
-            y = np.array([d.label for d in now])
-            lengths = np.array([len(d.keys) for d in now])
-            words, doc = np.concatenate([d.keys for d in now]), np.repeat(np.arange(len(now)), lengths)
-            used, back = np.unique(words, return_inverse=True)
+            y = labels[order[at : at + batch]]
+            lengths = np.array([c.sum() for _, c in now])
+            cell_doc = np.repeat(np.arange(len(now)), [len(k) for k, _ in now])
+            used, cell_word = np.unique(np.concatenate([k for k, _ in now]), return_inverse=True)
             # weight of each distinct word of the batch in each document: its count over the length
-            cell, count = np.unique(doc * len(used) + back, return_counts=True)
-            cell_doc, cell_word = cell // max(1, len(used)), cell % max(1, len(used))
-            weight = (count / lengths[cell_doc]).astype(np.float32)
+            weight = (np.concatenate([c for _, c in now]) / np.maximum(lengths, 1)[cell_doc]).astype(np.float32)
             k = n[used]
             ends = np.cumsum(k)
             rows = flat[np.repeat(begin[used] - ends + k, k) + np.arange(int(ends[-1]) if len(ends) else 0)]
@@ -235,26 +235,43 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING_ROWS) ->
         known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
-    sample = docs.select(doc_id_of(docs).alias("doc_id"), text_of(docs).alias("text")).join(F.broadcast(picked), "doc_id")
-    rows = sorted((r["doc_id"], r["text"], r["quality"]) for r in sample.toLocalIterator())
-    return fit([t for _, t, _ in rows], np.array([q for *_, q in rows], np.int64))
+    rows = docs.select(doc_id_of(docs).alias("doc_id"), text_of(docs).alias("text")).join(F.broadcast(picked), "doc_id")
+    one = rows.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("row"))
+    sample = stored(one.select("doc_id", "quality", "row.text"), "quality-sample")
+    documents = sample.mapInArrow(_counted_rows, "doc_id long, quality int, keys array<long>, counts array<long>").toArrow().sort_by("doc_id")
+    parts = sample.mapInArrow(_part_rows, "key long, parts array<int>").groupBy("key").agg(F.first("parts").alias("parts")).toArrow().sort_by("key")
+    drop_stored(sample)
+    words = [(k.values.to_numpy(), c.values.to_numpy()) for k, c in zip(documents["keys"], documents["counts"], strict=True)]
+    lists = parts["parts"].combine_chunks()
+    sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    return fit_words(words, documents["quality"].to_numpy(), parts["key"].to_numpy(), flat, sizes)
 
 
-_scorers: dict[int, Scorer] = {}
+def _counted_rows(batches):
+    for rows, texts in text_slices(batches):
+        found = counted_words(texts)
+        lists = [pa.array([x[i] for x in found], pa.list_(pa.int64())) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("quality"), *lists], names=["doc_id", "quality", "keys", "counts"])
 
 
-def score_batches(shared, name: str, names: list[str], emit):
-    """A mapInArrow function: ``emit(rows, scores)`` for each slice of texts."""
+def _part_rows(batches):
+    for _, texts in text_slices(batches):
+        keys, flat, n = distinct_parts(texts)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), lists], names=["key", "parts"])
+
+
+_scorers: dict[int, Scorer] = {}
 
-    def run(batches):
-        key = hash((name, shared.value.bias, float(shared.value.weight.sum())))
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(shared.value)
-        for rows, texts in text_slices(batches):
-            yield pa.RecordBatch.from_arrays(emit(rows, _scorers[key].scores(texts)), names=names)
 
-    return run
+def _scorer(shared) -> Scorer:
+    """The worker's scorer of a broadcast model, with the words it has met."""
+    key = hash((shared.value.bias, shared.value.weight.tobytes()))
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(shared.value)
+    return _scorers[key]
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, model: SubwordModel | None = None) -> DataFrame:
@@ -262,33 +279,26 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs, labels))
 
-    def emit(rows, scores):
-        return [rows.column("doc_id"), rows.column("held_out"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
+    def run(batches):
+        scorer = _scorer(shared)
+        for rows, texts in text_slices(batches):
+            scores = scorer.scores(texts)
+            columns = [rows.column("doc_id"), rows.column("held_out"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(doc_id_of(docs).alias("doc_id"), F.coalesce(held_out(doc_id_of(docs)), F.lit(False)).alias("held_out"), text_of(docs).alias("text"))
-    names = ["doc_id", "held_out", "score", "predicted"]
-    return rows.mapInArrow(score_batches(shared, "query", names, emit), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, model: SubwordModel | None = None) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, all columns as they are."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs, labels))
-    schema = docs.schema
     k = docs.columns.index("text")
 
     def run(batches):
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(k).to_pylist()]
-            keep = np.zeros(len(texts), bool)
-            start, size = 0, 0
-            for i in range(len(texts) + 1):
-                if i == len(texts) or (size and size + len(texts[i]) > 1 << 20):
-                    if i > start:
-                        keep[start:i] = scorer.scores(texts[start:i]) >= threshold
-                    start, size = i, 0
-                size += len(texts[i]) if i < len(texts) else 0
-            yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, schema)
+        scorer = _scorer(shared)
+        for rows, texts in text_slices(batches, column=k):
+            yield rows.filter(pa.array(scorer.scores(texts) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -78,6 +79,20 @@ def test_classifier_learns_and_handles_edges(spark, edge_docs, no_docs, labels):
     assert keep_quality(edge_docs, labels.limit(0)).count() == len(rows)
 
 
+def test_query_trains_outside_the_fold_on_whole_texts(spark):
+    """Held-out accuracy through the operator; repeated ids and very long texts in the sample."""
+    texts, y = sample(600, 11)
+    texts = [t + " tail" * 2000 if i % 50 == 1 else t for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*enumerate(texts), (1, "another text of an id that is there"), (2, None)], "doc_id long, text string").repartition(4)
+    known = spark.createDataFrame([(i, int(q)) for i, q in enumerate(y.tolist())], "doc_id long, quality int")
+    got = [r for r in quality_classifier(docs, known).collect() if r.doc_id > 2]
+    fold = [r for r in got if r.held_out]
+    assert {r.doc_id for r in fold} == {i for i in range(3, 600) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert sum(r.predicted == y[r.doc_id] for r in fold) / len(fold) > 0.97
+    again = {r.doc_id: r.score for r in quality_classifier(docs.repartition(2), known).collect()}
+    assert all(abs(again[r.doc_id] - r.score) < 1e-9 for r in got)
+
+
 def brute_blocks(words):
     """Label and containment of every template that a window of the words matches."""
     out = {}
