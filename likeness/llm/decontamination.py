@@ -5,23 +5,30 @@ windows of twice the longest item (``PASSAGE_WORDS`` at least), half overlapping
 stretch lies whole in one. An item's impacts are its BM25 term weights over its own total, so a
 passage that holds all its words scores 1, and one threshold fits all items.
 
-Retrieval is exact, with block-max WAND bounds: postings are cut into blocks of items with the
-largest impact of each term; the terms that even together cannot lift any item to the threshold are
-not looked up but enter as each block's bound. A block whose bound stays below the threshold is
-skipped, the items of the others are scored in full. An item is reported if it reaches the threshold
-and at least ``overlap`` of the three-word shingles of both its question (the first two thirds of
-its words) and its answer (the rest) are in the passage.
-
-Items are taken in shards of ``ITEMS_PER_SHARD``, so a broadcast index is bounded however many items
-there are. Item count, mean length, longest item and document frequencies are those of all items,
-counted in DataFrame passes first, so the results do not depend on the shards. Null or empty texts and items match nothing; repeated rows are reported each; an empty
-table gives no rows. ``drop_contaminated`` keeps all columns.
+Retrieval is block-max WAND and exact: postings are cut into blocks of items with the largest impact
+of each term. The most common terms, which even together cannot lift any item to the threshold, have
+no postings; what they can add is each block's rest. First, for whole batches of passages at once, the
+blocks stay live whose rest and block maxima reach the threshold. In each live block cursors then
+move over the items: the pivot is the first item at which the maxima of the cursors up to it reach the
+threshold, all items before it are skipped, and only pivots that all cursors before have reached are
+scored in full. An item is reported if it reaches the threshold and at least ``overlap`` of the
+three-word shingles of both its question (the first two thirds of its words) and its answer (the rest)
+are in the passage.
+
+Items are taken in shards of ``ITEMS_PER_SHARD`` items and ``SHARD_CHARS`` characters at most, so a
+broadcast index is bounded however many and long the items are; every shard costs a pass over the
+documents. Item count, mean length, longest item and document frequencies are those of all items,
+counted in DataFrame passes first, so the results do not depend on the shards. Null or empty texts and
+items match nothing; repeated rows are reported each; an empty table gives no rows.
+``drop_contaminated`` keeps all columns.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +41,8 @@ from .words import IntTable, span_hashes, texts_of
 THRESHOLD = 0.6
 OVERLAP = 0.5
 PASSAGE_WORDS = 128
-ITEMS_PER_SHARD = 50_000
+ITEMS_PER_SHARD = 20_000
+SHARD_CHARS = 16 << 20
 BLOCK_ITEMS = 8
 #: Share of the threshold that the skipped, most common terms may reach together in any item.
 SKIPPED = 0.75
@@ -62,78 +70,126 @@ def _shingles(keys: np.ndarray) -> set:
     return {tuple(keys[i : i + n].tolist()) for i in range(len(keys) - n + 1)} if n else set()
 
 
+def _counted(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word, times) of each distinct word of each text, in order."""
+    order = np.lexsort((words, doc))
+    words, doc = words[order], doc[order]
+    new = np.ones(len(words), bool)
+    new[1:] = (words[1:] != words[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    return doc[at], words[at], np.diff(np.append(at, len(words)))
+
+
 @dataclass
 class Statistics:
-    """Of all items that have words; ``frequency`` holds the terms of one shard at least."""
+    """Of all items that have words; ``terms`` (ascending) are those of one shard at least."""
 
     items: int
     mean: float
     longest: int
-    frequency: dict[int, int]
+    terms: np.ndarray
+    frequency: np.ndarray
 
     @classmethod
-    def of(cls, words: list[np.ndarray]) -> Statistics:
+    def of(cls, words: np.ndarray, doc: np.ndarray) -> Statistics:
         """For items that are all at hand."""
-        terms = np.concatenate([np.unique(w) for w in words]) if words else np.zeros(0, np.int64)
-        frequency = dict(zip(*(x.tolist() for x in np.unique(terms, return_counts=True)), strict=True))
-        return cls(len(words), sum(map(len, words)) / max(1, len(words)), max(map(len, words), default=0), frequency)
+        lengths = np.bincount(doc)
+        lengths = lengths[lengths > 0]
+        terms, frequency = np.unique(_counted(words, doc)[1], return_counts=True)
+        return cls(len(lengths), float(lengths.mean()) if len(lengths) else 0.0, int(lengths.max(initial=0)), terms, frequency)
 
 
 @dataclass
 class Index:
-    """Normalised BM25 impacts of a shard of items."""
+    """Normalised BM25 impacts of a shard of items, all in flat arrays."""
 
     ids: list[int]
-    words: list[np.ndarray]  # word hashes of each item
-    impacts: list[dict[int, float]]  # term hash: impact
-    terms: np.ndarray  # hashes of the terms that are looked up
+    words: np.ndarray  # word hashes of the items one after the other
+    word_begin: np.ndarray
+    item_term: np.ndarray  # distinct word hashes of each item, ascending
+    item_impact: np.ndarray
+    item_begin: np.ndarray
+    terms: np.ndarray  # hashes of the terms that have postings
     first: np.ndarray  # where each term's block postings begin
     block: np.ndarray
     most: np.ndarray  # largest impact of the term in the block
-    bound: np.ndarray  # what the skipped terms can add, for each block
+    post_begin: np.ndarray  # where each block posting's items begin
+    post_item: np.ndarray
+    rest: np.ndarray  # what the terms without postings can add, for each block
     passage: int
 
     @classmethod
     def of(cls, ids: list[int], texts: list[str], threshold: float, statistics: Statistics | None = None) -> Index:
-        keys, doc = word_keys(texts)
-        words = np.split(keys, np.searchsorted(doc, np.arange(1, len(texts))))
-        some = [i for i, w in enumerate(words) if len(w)]
-        ids, words = [ids[i] for i in some], [words[i] for i in some]
-        counts = [dict(zip(*(x.tolist() for x in np.unique(w, return_counts=True)), strict=True)) for w in words]
-        statistics = statistics or Statistics.of(words)
-        frequency, mean = statistics.frequency, statistics.mean
-        impacts = []
-        for c, w in zip(counts, words, strict=True):
-            norm = K1 * (1 - B + B * len(w) / mean)
-            raw = {t: np.log(1 + (statistics.items - frequency[t] + 0.5) / (frequency[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in c.items()}
-            total = sum(raw.values())
-            impacts.append({t: float(v / total) for t, v in raw.items()})
-        # skip the most common terms while no item can get near the threshold by them alone
-        skipped, reach = set(), np.zeros(len(words))
-        holders: dict[int, list[int]] = {}
-        for i, d in enumerate(impacts):
-            for t in d:
-                holders.setdefault(t, []).append(i)
-        for t in sorted(holders, key=lambda t: (-frequency[t], t)):
-            add = np.array([impacts[i][t] for i in holders[t]])
-            if frequency[t] < 2 or (reach[holders[t]] + add > SKIPPED * threshold).any():
-                continue
-            reach[holders[t]] += add
-            skipped.add(t)
-        blocks = np.arange(len(words)) // BLOCK_ITEMS
-        bound = np.zeros(int(blocks[-1]) + 1 if len(words) else 0)
-        np.maximum.at(bound, blocks, reach)
-        terms = np.array(sorted(t for t in holders if t not in skipped), np.int64)
-        first, block, most = [0], [], []
-        for t in terms.tolist():
-            best: dict[int, float] = {}
-            for i in holders[t]:
-                b = i // BLOCK_ITEMS
-                best[b] = max(best.get(b, 0.0), impacts[i][t])
-            block.extend(best)
-            most.extend(best.values())
-            first.append(len(block))
-        return cls(ids, words, impacts, terms, np.array(first), np.array(block, np.int64), np.array(most), bound, max(PASSAGE_WORDS, 2 * statistics.longest))
+        words, doc = word_keys(texts)
+        some, doc = np.unique(doc, return_inverse=True)
+        ids, n = [ids[i] for i in some.tolist()], len(some)
+        statistics = statistics or Statistics.of(words, doc)
+        length = np.bincount(doc, minlength=n)
+        item, term, times = _counted(words, doc)
+        frequency = statistics.frequency[np.searchsorted(statistics.terms, term)]
+        norm = K1 * (1 - B + B * length[item] / statistics.mean) if n else np.zeros(0)
+        raw = np.log(1 + (statistics.items - frequency + 0.5) / (frequency + 0.5)) * times * (K1 + 1) / (times + norm)
+        impact = raw / np.bincount(item, raw, n)[item]
+        # leave out the most common terms while no item can get near the threshold by them alone
+        by_term = np.lexsort((item, term))
+        t, i, v = term[by_term], item[by_term], impact[by_term]
+        begin = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if n else np.zeros(0, np.int64)
+        end = np.append(begin[1:], len(t))
+        keep, reach = np.ones(len(t), bool), np.zeros(n)
+        held = frequency[by_term][begin] if n else np.zeros(0)
+        for k in np.lexsort((t[begin], -held)).tolist() if n else ():
+            if held[k] < 2:
+                break
+            a, b = begin[k], end[k]
+            if (reach[i[a:b]] + v[a:b] <= SKIPPED * threshold).all():
+                reach[i[a:b]] += v[a:b]
+                keep[a:b] = False
+        t, i, v = t[keep], i[keep], v[keep]
+        rest = np.zeros(-(-n // BLOCK_ITEMS))
+        np.maximum.at(rest, np.arange(n) // BLOCK_ITEMS, reach)
+        terms, place = np.unique(t, return_inverse=True)
+        block = i // BLOCK_ITEMS
+        post = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (block[1:] != block[:-1]))) if len(t) else np.zeros(0, np.int64)
+        most = np.maximum.reduceat(v, post) if len(post) else np.zeros(0)
+        first = np.searchsorted(place[post], np.arange(len(terms) + 1))
+        ends = np.concatenate([[0], np.cumsum(length)])
+        return cls(
+            ids, words, ends, term, impact, np.searchsorted(item, np.arange(n + 1)), terms, first, block[post], most,
+            np.append(post, len(t)), i, rest, max(PASSAGE_WORDS, 2 * statistics.longest),
+        )
+
+    def impacts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct words of an item and their impacts."""
+        a, b = self.item_begin[k], self.item_begin[k + 1]
+        return self.item_term[a:b], self.item_impact[a:b]
+
+
+def pivots(cursors: list[tuple[list[int], float]], rest: float, threshold: float) -> Iterator[int]:
+    """The items that WAND scores in full, of cursors over ascending items with an upper bound each."""
+    now = [[items[0], k, 0] for k, (items, _) in enumerate(cursors)]
+    while now:
+        now.sort()
+        total, pivot = rest, None
+        for item, k, _ in now:
+            total += cursors[k][1]
+            if total >= threshold - 1e-9:
+                pivot = item
+                break
+        if pivot is None:
+            return
+        score = now[0][0] == pivot
+        if score:
+            yield pivot
+        target, left = pivot + score, []
+        for c in now:
+            items = cursors[c[1]][0]
+            if c[0] < target:
+                c[2] = bisect_left(items, target, c[2])
+                if c[2] == len(items):
+                    continue
+                c[0] = items[c[2]]
+            left.append(c)
+        now = left
 
 
 class Searcher:
@@ -142,10 +198,13 @@ class Searcher:
         self.table = IntTable()
         if len(index.terms):
             self.table.insert(index.terms, np.arange(len(index.terms), dtype=np.int32))
-        self.parts = []
-        for w in index.words:
-            cut = max(1, min(len(w) - 1, 2 * len(w) // 3))
-            self.parts.append((_shingles(w[:cut]), _shingles(w[cut:]) or _shingles(w[:cut])))
+        self.parts = lru_cache(4096)(self._parts)
+
+    def _parts(self, k: int) -> tuple[set, set]:
+        """Shingles of an item's question and answer."""
+        w = self.index.words[self.index.word_begin[k] : self.index.word_begin[k + 1]]
+        cut = max(1, min(len(w) - 1, 2 * len(w) // 3))
+        return _shingles(w[:cut]), _shingles(w[cut:]) or _shingles(w[:cut])
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, float, float, float]]:
         """(text, item id, passages, score, question overlap, answer overlap) of every match."""
@@ -172,30 +231,38 @@ class Searcher:
         size = index.first[t + 1] - index.first[t]
         done = np.cumsum(size)
         posting = np.repeat(index.first[t] - done + size, size) + np.arange(int(done[-1]) if len(done) else 0)
-        cell = np.repeat(place, size) * np.int64(len(index.bound)) + index.block[posting]
+        cell = np.repeat(place, size) * np.int64(len(index.rest)) + index.block[posting]
         cell, inverse = np.unique(cell, return_inverse=True)
         total = np.bincount(inverse, index.most[posting], len(cell))
-        alive = cell[total + index.bound[cell % len(index.bound)] >= self.threshold - 1e-9]
+        live = total + index.rest[cell % len(index.rest)] >= self.threshold - 1e-9
+        mine = np.flatnonzero(live[inverse])
+        mine = mine[np.argsort(inverse[mine], kind="stable")]
+        if not len(mine):
+            return []
+        cut = np.flatnonzero(np.append(True, np.diff(inverse[mine]) != 0))
         found: dict[tuple[int, int], list] = {}
-        held, sets = -1, (set(), set())
-        for c in alive.tolist():
-            p, b = divmod(c, len(index.bound))
+        held, sets = -1, (None, None)
+        for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(mine)], strict=True):
+            p, b = divmod(int(cell[inverse[mine[a]]]), len(index.rest))
             i = int(np.searchsorted(base, p, side="right")) - 1
             if p != held:
                 lo = begin[i] + (p - base[i]) * stride
                 window = keys[lo : min(lo + index.passage, begin[i + 1])]
-                held, sets = p, (set(window.tolist()), None)
-            for k in range(b * BLOCK_ITEMS, min((b + 1) * BLOCK_ITEMS, len(index.ids))):
-                score = sum(v for term_key, v in index.impacts[k].items() if term_key in sets[0])
+                held, sets = p, (np.unique(window), None)
+            rows = posting[mine[a:z]]
+            cursors = [(index.post_item[x:y].tolist(), m) for x, y, m in zip(index.post_begin[rows].tolist(), index.post_begin[rows + 1].tolist(), index.most[rows].tolist(), strict=True)]
+            for k in pivots(cursors, float(index.rest[b]), self.threshold):
+                terms, impact = index.impacts(k)
+                score = float(impact[np.isin(terms, sets[0], assume_unique=True)].sum())
                 if score < self.threshold:
                     continue
                 if sets[1] is None:
-                    sets = (sets[0], _shingles(window) | {(x,) for x in sets[0]} | {tuple(window[j : j + 2].tolist()) for j in range(len(window) - 1)})
-                q, a = (len(part & sets[1]) / len(part) for part in self.parts[k])
-                if q >= self.overlap and a >= self.overlap:
+                    sets = (sets[0], _shingles(window) | {(x,) for x in sets[0].tolist()} | {tuple(window[j : j + 2].tolist()) for j in range(len(window) - 1)})
+                q, a_ = (len(part & sets[1]) / len(part) for part in self.parts(k))
+                if q >= self.overlap and a_ >= self.overlap:
                     row = found.setdefault((i, k), [0, 0.0, 0.0, 0.0])
                     row[0] += 1
-                    row[1:] = max(row[1:], [score, q, a])
+                    row[1:] = max(row[1:], [score, q, a_])
         return [(i, index.ids[k], *row) for (i, k), row in sorted(found.items())]
 
 
@@ -225,18 +292,18 @@ def _shards(benchmark: DataFrame, threshold: float) -> Iterator[Index]:
 
     def index(ids: list[int], texts: list[str]) -> Index:
         terms = pa.table({"term": np.unique(word_keys(texts)[0])})
-        found = counted.join(F.broadcast(spark.createDataFrame(terms)), "term").select("term", "items").toArrow()
-        frequency = dict(zip(found["term"].to_pylist(), found["items"].to_pylist(), strict=True))
-        statistics = Statistics(whole["items"], whole["words"] / whole["items"], whole["longest"], frequency) if whole else None
+        found = counted.join(F.broadcast(spark.createDataFrame(terms)), "term").select("term", "items").toArrow().sort_by("term")
+        statistics = Statistics(whole["items"], whole["words"] / whole["items"], whole["longest"], found["term"].to_numpy(), found["items"].to_numpy()) if whole else None
         return Index.of(ids, texts, threshold, statistics)
 
-    ids, texts = [], []
+    ids, texts, size = [], [], 0
     for row in items.orderBy("item_id", "text").toLocalIterator():
+        if len(ids) == ITEMS_PER_SHARD or (ids and size + len(row["text"]) > SHARD_CHARS):
+            yield index(ids, texts)
+            ids, texts, size = [], [], 0
         ids.append(row["item_id"])
         texts.append(row["text"])
-        if len(ids) == ITEMS_PER_SHARD:
-            yield index(ids, texts)
-            ids, texts = [], []
+        size += len(row["text"])
     if ids:
         yield index(ids, texts)
     drop_stored(counted)

@@ -5,9 +5,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
-from likeness.llm import license_scan
-from likeness.llm.decontamination import Index, Searcher, contaminated, drop_contaminated
+from likeness.llm import decontamination, license_scan
+from likeness.llm.decontamination import Index, Searcher, contaminated, drop_contaminated, word_keys
 from likeness.llm.quality_classifier import Scorer, fit, keep_quality, quality_classifier
 from likeness.llm.quality_rules import FEATURES, fit_trees, quality_rules, statistics
 
@@ -148,31 +149,50 @@ def items_and_docs():
     return items, docs, want
 
 
-def test_search_is_exact():
+def brute_scores(index, items, texts, least):
+    """Best score of every text and item over all passages, without bounds."""
+    hashed = [dict(zip(*(x.tolist() for x in index.impacts(i)), strict=True)) for i in range(len(items))]
+    key, out, stride = {}, {}, index.passage // 2
+    for d, text in enumerate(texts):
+        words = re.findall(r"[a-z]+", text.lower())
+        for w in words:
+            key.setdefault(w, int(word_keys([w])[0][0]))
+        for k in range(max(1, -(-len(words) // stride) - 1)):
+            window = {key[w] for w in words[k * stride : k * stride + index.passage]}
+            for i in range(len(items)):
+                score = sum(v for h, v in hashed[i].items() if h in window)
+                if score >= least:
+                    out[d, i] = max(out.get((d, i), 0), round(score, 9))
+    return out
+
+
+@pytest.mark.parametrize("skipped", [0.0, 0.75])
+def test_search_is_exact(monkeypatch, skipped):
+    monkeypatch.setattr(decontamination, "SKIPPED", skipped)
     items, docs, want = items_and_docs()
     index = Index.of(list(range(80)), items, 0.6)
     found = {(d, i) for d, i, *_ in Searcher(index, 0.6, 0.5).search(docs)}
     assert found == want
-    # every passage against every item, without bounds
-    searcher = Searcher(index, 0.3, 0.0)
-    got = {(d, i): round(s, 9) for d, i, _, s, *_ in searcher.search(docs)}
-    brute = {}
-    for d, text in enumerate(docs):
-        words = re.findall(r"[a-z]+", text.lower())
-        stride = index.passage // 2
-        for k in range(max(1, -(-len(words) // stride) - 1)):
-            window = set(words[k * stride : k * stride + index.passage])
-            for i, item in enumerate(items):
-                from likeness.llm.decontamination import word_keys
-
-                keys = {w: int(word_keys([w])[0][0]) for w in set(item.split())}
-                score = sum(index.impacts[i][h] for w, h in keys.items() if w in window)
-                if score >= 0.3:
-                    brute[d, i] = max(brute.get((d, i), 0), round(score, 9))
-        if d == 14:
-            break
-    low = {k: v for k, v in got.items() if k[0] <= 14}
-    assert set(low) <= set(brute) and all(brute[k] == v for k, v in low.items())
+    assert Searcher(index, 0.6, 0.5).search(["", "nothing of it", items[0].split()[0]]) == []
+    for threshold in (0.3, 0.45, 0.6):
+        # every passage against every item: neither more nor less is found
+        got = {(d, i): round(s, 9) for d, i, _, s, *_ in Searcher(Index.of(list(range(80)), items, threshold), threshold, 0.0).search(docs[:30])}
+        brute = brute_scores(index, items, docs[:30], threshold)
+        assert len(brute) >= 10 and got.keys() == brute.keys() and all(abs(got[k] - brute[k]) < 1e-8 for k in got)
+
+
+def test_pivots_skip_but_miss_nothing():
+    rng = random.Random(2)
+    scored = every = 0
+    for _ in range(300):
+        held = [[i for i in range(16) if rng.random() < 0.3] for _ in range(8)]
+        weights = [{i: rng.random() for i in items} for items in held]
+        cursors = [(items, max(w.values())) for items, w in zip(held, weights) if items]
+        total = {i: sum(w.get(i, 0) for w in weights) for i in range(16)}
+        got = list(decontamination.pivots(cursors, 0.1, 2.0))
+        assert got == sorted(set(got)) and {i for i, s in total.items() if s + 0.1 >= 2.0} <= set(got)
+        scored, every = scored + len(got), every + 16
+    assert scored < 0.9 * every
 
 
 def test_decontamination_edges(spark, edge_docs, no_docs):
