@@ -16,8 +16,9 @@ def components(edges: DataFrame, a: str, b: str, small: int = SMALL_EDGES) -> Da
     """vertex, component (its smallest vertex) of all vertices of ``edges``.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): every step is an aggregation
-    and a join on the vertex, so no component is ever gathered in one task, and the number of steps
-    grows with the logarithm of the longest chain. A few edges are joined in one task instead.
+    and a join on the vertex; the edges of a hub, in the end all of a component's, are one join key, which
+    adaptive execution splits. The number of steps grows with the logarithm of the longest chain. A few
+    edges (``small`` at most) are joined in one task instead.
     """
     now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     if small and now.count() <= small:
@@ -25,15 +26,16 @@ def components(edges: DataFrame, a: str, b: str, small: int = SMALL_EDGES) -> Da
     while True:
         # large star: each vertex links its larger neighbours to its smallest
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        # stored, so that both sides of the join are plain exchanges and a hub's edges can be split over tasks
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         # small star: each vertex links its smaller neighbours and itself to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = stored(linked.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         same = _digest(now) == _digest(small)
-        drop_stored(large)
-        drop_stored(now)
+        for table in (least, large, now):
+            drop_stored(table)
         now = small
         if same:
             break
