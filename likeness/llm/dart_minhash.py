@@ -58,7 +58,10 @@ def _ascii_lower(text: str) -> str:
 
 
 def cells(hashes: np.ndarray, doc: np.ndarray, counted: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Unit cells of the sets: one for each distinct shingle, or one for each occurrence."""
+    """Unit cells of the sets: one for each distinct shingle, or one for each occurrence (its weight).
+
+    They are sorted by document; in a document by hash if not ``counted``.
+    """
     order = np.lexsort((hashes, doc))
     hashes, doc = hashes[order], doc[order]
     new = np.ones(len(hashes), bool)

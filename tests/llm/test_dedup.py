@@ -98,38 +98,63 @@ def test_weighted_cells_count_copies():
     assert np.bincount(owner).tolist() == [11, 1] and len(np.unique(cell)) == 11
 
 
-def brute_classes(docs, similarity=0.8):
-    sets, texts = {}, {}
+def brute_classes(docs, similarity=0.8, weighted=False):
+    sets = {}
     for n, (_, t) in enumerate(docs):
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
-        sets[n] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-        texts[n] = w
+        sets[n] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
+        if not weighted:
+            sets[n] = Counter(set(sets[n]))
     group = list(range(len(docs)))
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and (sets[a] & sets[b]).total() >= similarity * (sets[a] | sets[b]).total():
                 group = [group[a] if g == group[b] else g for g in group]
     return group
 
 
-@pytest.mark.parametrize("block", [128, 2])
-def test_near_duplicates_match_brute_force(spark, edge_docs, no_docs, monkeypatch, block):
-    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", block)
+def near_table(edge_docs):
     base = [f"w{i}" for i in range(60)]
     chain = [" ".join([*base[:k], *(f"x{j}" for j in range(k * 2, k * 2 + 2)), *base[k + 2 :]]) for k in range(0, 40, 4)]
     slow = [" ".join(f"s{i}" for i in range(k, k + 80)) for k in range(0, 60, 6)]  # each near the next only
-    docs = [(r.doc_id, r.text) for r in edge_docs.select("doc_id", "text").collect()] + [(200 + i, t) for i, t in enumerate(chain + slow)]
+    # half alike: they share buckets and are of classes of their own
+    half = [" ".join([*(f"h{i}" for i in range(60)), *(f"own{n}_{i}" for i in range(22))]) for n in range(40)]
+    many = ["a b c d e " * 40, "a b c d e " * 8, "a b c d e " * 39 + "f"]  # alike as sets, not as weighted sets
+    return [(r.doc_id, r.text) for r in edge_docs.select("doc_id", "text").collect()] + [(200 + i, t) for i, t in enumerate(chain + slow + half + many)]
+
+
+def members(got, docs):
+    """The texts of each class, as a sorted list of sorted lists."""
+    held = {}
+    for (_, text), c in zip(docs, got, strict=True):
+        held.setdefault(c, []).append(text)
+    return sorted(sorted(x) for x in held.values())
+
+
+@pytest.mark.parametrize(("block", "weighted"), [(256, False), (2, False), (256, True)])
+def test_near_duplicates_match_brute_force(spark, edge_docs, no_docs, monkeypatch, block, weighted):
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", block)
+    monkeypatch.setattr(near_dedup, "COUNTED_PAIRS", 1 << 22 if block > 2 else 50)
+    docs = near_table(edge_docs)
     table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    got = near_dedup.near_dedup(table).collect()
-    want = brute_classes(docs)
-    members = Counter(want[n] for n, (_, t) in enumerate(docs) if (t or "").split())
-    sizes = sorted(members.values())
-    by_class = Counter(r.class_id for r in got if r.class_id is not None)
-    assert sorted(by_class.values()) == [s for s in sizes]
-    assert sum(r.is_kept for r in got if r.class_id is not None and r.doc_id != 4) + 1 >= len(members)
-    kept = drop_near_duplicates(table)
-    assert kept.columns == table.columns
-    assert kept.where("trim(text) <> ''").count() - kept.where("text = ' \n\t\n'").count() == len(members)
+    rows = near_dedup.near_duplicate_classes(table, weighted=weighted).collect()
+    assert len(rows) == len(docs)
+    by_row = {(r.doc_id, r.text_hash): r["class"] for r in rows}
+    hashes = {(r.doc_id, r.text): r.h for r in table.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) h").collect()}
+    texts = [(i, t) for i, t in docs if (t or "").split()]
+    want = [g for g, (_, t) in zip(brute_classes(docs, weighted=weighted), docs, strict=True) if (t or "").split()]
+    assert members([by_row[i, hashes[i, t]] for i, t in texts], texts) == members(want, texts)
+    n_classes = len(set(want))
+    got = near_dedup.near_dedup(table, weighted=weighted).collect()
+    kept = [r for r in got if r.is_kept]
+    assert len([r for r in got if r.class_size == 1 and r.class_id is None]) >= 4  # without words, each on its own
+    sizes = Counter(want)
+    assert sorted(r.class_size for r in kept) == sorted([*sizes.values(), *[1] * (len(docs) - len(texts))])
+    left = drop_near_duplicates(table, weighted=weighted)
+    assert left.columns == table.columns and left.count() == n_classes + len(docs) - len(texts) == len(kept)
+
+
+def test_near_duplicates_of_no_rows(no_docs):
     assert near_dedup.near_dedup(no_docs).count() == 0 and drop_near_duplicates(no_docs).count() == 0
 
 
