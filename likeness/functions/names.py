@@ -59,6 +59,11 @@ def relative_to(path: Column, root: Column) -> Column:
     return F.when(F.startswith(path, F.concat(root, F.lit("/"))), F.substring(path, F.length(root) + 2, F.length(path))).otherwise(path)
 
 
+def stable_point_id(name: Column) -> Column:
+    """The same 64-bit id on every run: the first half of the name's SHA-256."""
+    return F.conv(F.substring(F.sha2(name, 256), 1, 16), 16, -10).cast("long")
+
+
 def stable_id(path: Column) -> Column:
     """The same id on every run, so that ingest can be repeated."""
     return F.sha2(path, 256)

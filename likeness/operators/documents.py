@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,7 +74,11 @@ def find_key(document: Column, key: str) -> Column:
             todo.append(held.get("payload"))
         return None
 
-    return F.udf(find, "int")(document)
+    @F.pandas_udf("int")
+    def find_all(texts: pd.Series) -> pd.Series:
+        return pd.Series([find(t) for t in texts], dtype="Int32")
+
+    return find_all(document)
 
 
 def flatten_cluster_document(documents: DataFrame, column: str = "document", key: str = "market_id") -> DataFrame:
@@ -113,6 +118,13 @@ def first_embedding_ids(metadata: DataFrame) -> DataFrame:
     return metadata.groupBy("crop_path").agg(F.min("ordinal").alias("embedding_id"))
 
 
+def report(title: str, rows: DataFrame, n: int = 20) -> str:
+    """A titled text table of the first n rows, as the console reports show them; it is printed too."""
+    text = f"{'=' * 60}\n{title}\n{'=' * 60}\n{rows._jdf.showString(n, 0, False)}"
+    print(text)
+    return text
+
+
 def metric_or(row: DataFrame, key: str, default: float = 0.0) -> Column:
     """A metric of a result row: its own column, else the one of its ``evaluation`` struct, else the default."""
     own = [F.col(key)] if key in row.columns else []

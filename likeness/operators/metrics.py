@@ -35,6 +35,13 @@ def top_clusters(labels: DataFrame, n: int = 20, by_size: bool = True) -> DataFr
     return s.where(F.col("cluster_id") != NOISE).orderBy(F.desc("size"), "cluster_id").limit(n) if by_size else s.orderBy("cluster_id").limit(n)
 
 
+def ground_truth(points: DataFrame) -> DataFrame:
+    """point_id, market_id (int); reading raises where a point has no identity."""
+    given = points["market_id"] if "market_id" in points.columns else F.lit(None)
+    missing = F.raise_error(F.lit("a point has no market_id")).cast("int")
+    return points.select("point_id", F.when(given.isNotNull(), given.cast("int")).otherwise(missing).alias("market_id"))
+
+
 def contingency(labels: DataFrame) -> DataFrame:
     """market_id, cluster_id, n."""
     return labels.groupBy("market_id", "cluster_id").agg(F.count("*").alias("n"))
@@ -89,6 +96,32 @@ def evaluate(labels: DataFrame, valid_only: bool = True) -> DataFrame:
     return cluster_stats(rows.drop("market_id")).crossJoin(purity(rows)).crossJoin(ari(rows)).crossJoin(nmi(rows))
 
 
+def quality_by(rows: DataFrame, by: str = "experiment") -> DataFrame:
+    """``by``, purity (noise left out), ari, nmi of the labels of many experiments, in one pass for all."""
+    t = rows.groupBy(by, "market_id", "cluster_id").agg(F.count("*").alias("n"))
+    within = t.where(F.col("cluster_id") != NOISE).groupBy(by, "cluster_id").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
+    pure = within.groupBy(by).agg((F.sum("most") / F.sum("all")).alias("purity"))
+    joint = t.groupBy(by).agg(F.sum(_pairs(F.col("n"))).alias("s"), F.sum("n").cast("double").alias("total"))
+
+    def side(name: str, n: str) -> tuple[DataFrame, DataFrame]:
+        sums = t.groupBy(by, name).agg(F.sum("n").alias(n))
+        total = F.sum(n).cast("double")
+        # the entropy of counts that sum to t is ln t - sum(n ln n) / t
+        entropy = F.ln(total) - F.sum(F.col(n) * F.ln(n)) / total
+        return sums, sums.groupBy(by).agg(F.sum(_pairs(F.col(n))).alias(f"p{n}"), entropy.alias(f"h{n}"))
+
+    (a, of_a), (b, of_b) = side("market_id", "a"), side("cluster_id", "b")
+    shared = t.join(a, [by, "market_id"]).join(b, [by, "cluster_id"]).join(joint, by)
+    n = F.col("n").cast("double")
+    mi = shared.groupBy(by).agg(F.sum(n / F.col("total") * F.ln(F.col("total") * n / (F.col("a").cast("double") * F.col("b")))).alias("mi"))
+    one = joint.join(of_a, by).join(of_b, by).join(mi, by).join(pure, by, "left")
+    expected = F.coalesce(F.try_divide(F.col("pa") * F.col("pb"), _pairs(F.col("total"))), F.lit(0.0))
+    bottom, mean = (F.col("pa") + F.col("pb")) / 2 - expected, (F.col("ha") + F.col("hb")) / 2
+    rand = F.when(F.abs(bottom) < 1e-12, 1.0).otherwise(F.try_divide(F.col("s") - expected, bottom))
+    mutual = F.when(mean < 1e-12, 1.0).otherwise(F.try_divide(F.col("mi"), mean))
+    return one.select(by, F.round(F.coalesce("purity", F.lit(0.0)), 6).alias("purity"), F.round(rand, 6).alias("ari"), F.round(mutual, 6).alias("nmi"))
+
+
 def best_experiments(results: DataFrame) -> DataFrame:
     """metric, experiment, value: the best experiment by each metric, the first of equals."""
     out = None
@@ -99,14 +132,32 @@ def best_experiments(results: DataFrame) -> DataFrame:
     return out
 
 
-def latency_stats(runs: DataFrame, group: str, value: str) -> DataFrame:
-    """mean, upper median (the middle value, the higher of two), min and max of each group."""
-    from pyspark.sql import Window
+def latency_stats(runs: DataFrame, group: str, value: str, baseline=None) -> DataFrame:
+    """mean, upper median (the middle value, the higher of two), min and max of each group.
 
-    w = Window.partitionBy(group)
-    place = F.row_number().over(w.orderBy(value))
-    ranked = runs.where(F.col(value).isNotNull()).select(group, value, place.alias("place"), F.count("*").over(w).alias("n"))
-    middle = F.max(F.when(F.col("place") == F.floor(F.col("n") / 2) + 1, F.col(value)))
-    return ranked.groupBy(group).agg(
-        F.count("*").alias("runs"), F.round(F.avg(value), 6).alias("mean"), F.round(middle, 6).alias("median"), F.round(F.min(value), 6).alias("min"), F.round(F.max(value), 6).alias("max")
+    With ``baseline``, a value of the group, also the speed-up: the baseline's mean over the group's.
+    """
+    middle = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}` DESC)")
+    out = runs.where(F.col(value).isNotNull()).groupBy(group).agg(
+        F.count("*").alias("runs"), F.avg(value).alias("mean"), F.round(middle, 6).alias("median"), F.round(F.min(value), 6).alias("min"), F.round(F.max(value), 6).alias("max")
     )
+    if baseline is None:
+        return out.withColumn("mean", F.round("mean", 6))
+    base = out.where(F.col(group) == baseline).select(F.col("mean").alias("base"))
+    rows = out.crossJoin(F.broadcast(base))  # one row
+    return rows.withColumn("speed_up", F.round(F.try_divide(F.col("base"), F.col("mean")), 6)).withColumn("mean", F.round("mean", 6)).drop("base")
+
+
+def resolution_study(runs: DataFrame, persons: DataFrame, baseline: int) -> DataFrame:
+    """resolution, mean latency, persons a run, mean confidence (0 without persons) and speed-up over the baseline.
+
+    ``runs`` has resolution, run and ms, ``persons`` a row of resolution and confidence for each person found.
+    """
+    times = runs.groupBy("resolution").agg(F.count("*").alias("runs"), F.avg("ms").alias("mean"))
+    seen = persons.groupBy("resolution").agg(F.count("*").alias("persons"), F.avg("confidence").alias("confidence"))
+    rows = times.join(seen, "resolution", "left")
+    base = times.where(F.col("resolution") == baseline).select(F.col("mean").alias("base"))
+    return rows.crossJoin(F.broadcast(base)).select(  # one row
+        "resolution", "runs", F.round("mean", 6).alias("mean_ms"), F.round(F.coalesce("persons", F.lit(0)) / F.col("runs"), 6).alias("persons"),
+        F.round(F.coalesce("confidence", F.lit(0.0)), 6).alias("confidence"), F.round(F.try_divide(F.col("base"), F.col("mean")), 6).alias("speed_up"),
+    )

@@ -2,7 +2,8 @@
 
 Both sides are cut into blocks of bounded size. While the smaller side's proven size (rows times
 dimension) is at most ``BROADCAST_BYTES`` it is broadcast as one matrix; beyond it each pair of
-blocks is one group of a shuffle, so no task ever holds more than two blocks.
+blocks of about ``BLOCK_BYTES`` is one group of a shuffle, so no task holds more than two blocks and
+each side is sent only once for every block of the other. Within a table each two blocks meet once.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 BROADCAST_BYTES = 64 << 20
+BLOCK_BYTES = 32 << 20
 BLOCK_ROWS = 2048
 
 #: (query ids, query matrix, candidate ids, candidate matrix) -> rows
@@ -31,8 +33,11 @@ def _matrix(column) -> np.ndarray:
     return np.array([np.asarray(v, float) for v in column], float).reshape(len(column), -1)
 
 
-def pairwise(queries: DataFrame, candidates: DataFrame, kernel: Kernel, schema: str, unit: bool = True, dimension: int | None = None) -> DataFrame:
-    """Apply ``kernel`` to blocks of (id, vector) queries and all blocks of (id, vector) candidates."""
+def pairwise(queries: DataFrame, candidates: DataFrame, kernel: Kernel, schema: str, unit: bool = True, once: bool = False) -> DataFrame:
+    """Apply ``kernel`` to blocks of (id, vector) queries and all blocks of (id, vector) candidates.
+
+    With ``once`` both sides are one table, whose blocks are sent to each other once for both orders.
+    """
     spark = queries.sparkSession
     ship(spark)
     size = candidates.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
@@ -53,18 +58,32 @@ def pairwise(queries: DataFrame, candidates: DataFrame, kernel: Kernel, schema:
 
         spread = queries.select("id", "vector").repartition(max(2, spark.sparkContext.defaultParallelism), "id")
         return spread.mapInPandas(run, schema)
-    n_q = queries.count() // BLOCK_ROWS + 1
-    n_c = size["n"] // BLOCK_ROWS + 1
+    rows_of_block = max(BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, size["d"] or 1)))
+    n_c = size["n"] // rows_of_block + 1
+    n_q = n_c if once else queries.count() // rows_of_block + 1
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = queries.select("id", "vector", block(n_q).alias("q"), F.lit(0).alias("side")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
-    right = candidates.select("id", "vector", block(n_c).alias("c"), F.lit(1).alias("side")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    others = lambda first, n: F.explode(F.sequence(first, F.lit(n - 1)))
+    left = queries.select("id", "vector", block(n_q).alias("q"), F.lit(0).alias("side"))
+    left = left.withColumn("c", others(F.col("q") if once else F.lit(0), n_c))
+    right = candidates.select("id", "vector", block(n_c).alias("c"), F.lit(1).alias("side"))
+    right = right.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("c"))) if once else others(F.lit(0), n_q))
     both = left.select("q", "c", "side", "id", "vector").unionByName(right.select("q", "c", "side", "id", "vector"))
 
     def pair(frame: pd.DataFrame) -> pd.DataFrame:
         a, b = frame[frame["side"] == 0], frame[frame["side"] == 1]
         if not len(a) or not len(b):
             return kernel(*[np.zeros(0, np.int64), np.zeros((0, 1))] * 2)
-        return kernel(a["id"].to_numpy(np.int64), scale(_matrix(a["vector"])), b["id"].to_numpy(np.int64), scale(_matrix(b["vector"])))
+        a_ids, b_ids = a["id"].to_numpy(np.int64), b["id"].to_numpy(np.int64)
+        x, y = scale(_matrix(a["vector"])), scale(_matrix(b["vector"]))
+        sides = [(a_ids, x, b_ids, y)]
+        if once and frame["q"].iat[0] != frame["c"].iat[0]:
+            sides.append((b_ids, y, a_ids, x))
+        found = []
+        for p_ids, p, r_ids, r in sides:
+            for i in range(0, len(p), BLOCK_ROWS):
+                for j in range(0, len(r), 8 * BLOCK_ROWS):
+                    found.append(kernel(p_ids[i : i + BLOCK_ROWS], p[i : i + BLOCK_ROWS], r_ids[j : j + 8 * BLOCK_ROWS], r[j : j + 8 * BLOCK_ROWS]))
+        return pd.concat(found)
 
     return both.groupBy("q", "c").applyInPandas(pair, schema)
 
@@ -96,4 +115,4 @@ def within_distance(rows: DataFrame, eps: float) -> DataFrame:
         row, col = np.nonzero((d <= eps) & (q_ids[:, None] < c_ids[None, :]))
         return pd.DataFrame({"i": q_ids[row], "j": c_ids[col], "distance": d[row, col]})
 
-    return pairwise(rows, rows, kernel, "i long, j long, distance double")
+    return pairwise(rows, rows, kernel, "i long, j long, distance double", once=True)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import linear_rank_score
-from ..functions.vectors import cosine, dot, l2_normalize
+from ..functions.vectors import TINY, as_double, cosine
 from .pairs import nearest
 
 #: Fixed values of the fusion: weights of the two signals and hits taken of each.
@@ -18,15 +20,40 @@ def top_k(points: DataFrame, query: list[float] | None, signal: str, k: int, id_
 
     Fewer rows than k if there are fewer points; no rows without a query vector.
     """
-    spark = points.sparkSession
-    q = F.array(*[F.lit(float(x)) for x in query]) if query is not None else F.lit(None).cast("array<double>")
-    rows = points.where(F.col(signal).isNotNull()).select(id_column, dot(l2_normalize(F.col(signal)), l2_normalize(q)).alias("raw"))
-    best = rows.where(F.col("raw").isNotNull()).orderBy(F.desc(F.round("raw", 12)), id_column).limit(k)
+    rows = _similarities(points.where(F.col(signal).isNotNull()), query, signal, k, id_column)
+    best = rows.orderBy(F.desc(F.round("raw", 12)), id_column).limit(k)
     rank = F.row_number().over(Window.orderBy(F.desc(F.round("raw", 12)), id_column))  # k rows only
-    del spark
     return best.select(F.col(id_column), rank.alias("rank"), F.round("raw", 4).alias("similarity"), F.col("raw"))
 
 
+def _similarities(points: DataFrame, query: list[float] | None, signal: str, k: int, id_column: str) -> DataFrame:
+    """id and cosine of the rows that may be among the k best: each batch keeps its own k best and their ties.
+
+    One matrix product a batch; vectors of another length than the query raise.
+    """
+    kind = points.schema[id_column].dataType.simpleString()
+    if query is None:
+        return points.sparkSession.createDataFrame([], f"{id_column} {kind}, raw double")
+    q = np.asarray(query, float)
+    q = q / max(np.linalg.norm(q), TINY)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            m = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+            if len(m) != len(q) * batch.num_rows:
+                raise ValueError(f"vectors of {len(q)} numbers are needed")
+            m = m.reshape(batch.num_rows, len(q))
+            raw = (m @ q) / np.maximum(np.sqrt((m * m).sum(1)), TINY)
+            keep = np.arange(len(raw))
+            if k < len(raw):
+                bar = np.partition(raw, len(raw) - k)[len(raw) - k]
+                keep = np.flatnonzero(raw >= bar - 1e-11)  # ids decide between ties
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(raw[keep])], names=[id_column, "raw"])
+
+    return points.select(id_column, as_double(F.col(signal))).mapInArrow(run, f"{id_column} {kind}, raw double")
+
+
 def vector_of(points: DataFrame, point_id: int, signal: str) -> list[float] | None:
     row = points.where(F.col("point_id") == point_id).select(signal).first()
     return None if row is None or row[0] is None else list(row[0])

@@ -16,12 +16,14 @@ from ..operators import clustering, documents, ingest, metrics, search
 from ..sources import files
 from ..sources.points import FACE_DIMENSION, REID_DIMENSION, detections, points, table
 from ..sources.points import vectors as signal_vectors
+from ..storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 QUERY_POINT, EPS, MIN_SAMPLES = 1, 0.65, 3
-SWEEP = [(0.63, 3), (0.65, 3), (0.66, 3)]
+#: Nine radii, as many as the original grid has, in the range that the test vectors need.
+SWEEP = [(round(0.60 + 0.01 * n, 2), 3) for n in range(9)]
 
 POINTS = """points AS (
   SELECT vec_id AS point_id, embedding::DOUBLE[] AS reid,
@@ -401,7 +403,7 @@ def hdbscan(spark, sf_dir):
 
 @query()
 def hdbscan_sweep(spark, sf_dir):
-    return clustering.hdbscan_sweep(points(spark, sf_dir), [5, 10], [5, 10])
+    return clustering.hdbscan_sweep(points(spark, sf_dir), [5, 10, 20, 30, 50], [5, 10, 20])
 
 
 @query()
@@ -501,13 +503,7 @@ def cluster_members(spark, sf_dir):
 
 def _experiments(spark, sf_dir):
     p = points(spark, sf_dir).select("point_id", "market_id")
-    rows = dbscan_sweep(spark, sf_dir).join(p, "point_id")
-    out = None
-    for n in range(len(SWEEP)):
-        one = rows.where(F.col("experiment") == n)
-        row = metrics.purity(one).crossJoin(metrics.ari(one)).crossJoin(metrics.nmi(one)).withColumn("experiment", F.lit(n))
-        out = row if out is None else out.unionByName(row)
-    return out
+    return metrics.quality_by(stored(dbscan_sweep(spark, sf_dir), "sweep").join(p, "point_id"))
 
 
 def _best_sql() -> str:
@@ -554,6 +550,23 @@ def cluster_compare(spark, sf_dir):
     return out
 
 
+@query()
+def cluster_compare_all(spark, sf_dir):
+    """All four families side by side; two of them are beyond SQL."""
+    p = points(spark, sf_dir)
+    who = metrics.ground_truth(p)
+    methods = {
+        "kmeans": {"method": "kmeans", "k": K, "rounds": ROUNDS}, "dbscan": {"method": "dbscan", "eps": EPS, "min_samples": MIN_SAMPLES},
+        "hdbscan": {"method": "hdbscan", "min_cluster_size": 5, "min_samples": 5}, "agglomerative": {"method": "agglomerative", "n_clusters": 100, "linkage": "average"},
+    }
+    out = None
+    for name, parameters in methods.items():
+        labels = stored(clustering.cluster(p, **parameters).join(who, "point_id"), "labels")
+        row = metrics.evaluate(labels).withColumn("algorithm", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("SELECT CAST(doc_id % 50 AS INTEGER) AS cluster_id, CASE WHEN doc_id % 7 <> 0 THEN CAST(n_chars AS INTEGER) END AS market_id FROM documents WHERE doc_id % 50 <> 13")
 def cluster_doc_flatten(spark, sf_dir):
     """Cluster documents made of the documents table; one label is not an integer, some members lack an id."""
@@ -582,13 +595,18 @@ def json_find_key(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", documents.find_key(document, "market_id").alias("market_id"))
 
 
-@query(f"WITH {POINTS} SELECT point_id, CASE WHEN point_id % 3 = 0 THEN 'updated' ELSE source END AS source FROM points UNION ALL SELECT point_id + 1000000, 'inserted' FROM points WHERE point_id % 3 = 1")
+@query(
+    f"WITH {POINTS} SELECT point_id, CASE WHEN point_id % 3 = 0 THEN 'updated' WHEN point_id % 3 = 2 THEN 'second' ELSE source END AS source FROM points "
+    "UNION ALL SELECT point_id + 1000000, 'inserted' FROM points WHERE point_id % 3 = 1"
+)
 def upsert_merge(spark, sf_dir):
     old = points(spark, sf_dir).select("point_id", "source")
     changed = old.where("point_id % 3 = 0").select("point_id", F.lit("updated").alias("source"), F.lit(2).alias("version"))
     stale = old.where("point_id % 3 = 0").select("point_id", F.lit("stale").alias("source"), F.lit(1).alias("version"))
     added = old.where("point_id % 3 = 1").select((F.col("point_id") + 1000000).alias("point_id"), F.lit("inserted").alias("source"), F.lit(1).alias("version"))
-    return ingest.upsert(old, stale.unionByName(changed).unionByName(added), "point_id", "version")
+    # equal keys of equal version: the last one wins
+    twice = old.where("point_id % 3 = 2").select("point_id", F.explode(F.array(F.lit("first"), F.lit("second"))).alias("source"), F.lit(1).alias("version"))
+    return ingest.upsert(old, stale.unionByName(changed).unionByName(added).unionByName(twice), "point_id", "version")
 
 
 @query(f"WITH {POINTS} SELECT camera_id, filename FROM (SELECT camera_id, filename, row_number() OVER (PARTITION BY camera_id ORDER BY filename) AS n FROM points) WHERE n <= 3")
@@ -620,6 +638,31 @@ def latency_stats(spark, sf_dir):
     return metrics.latency_stats(table(spark, sf_dir, "events"), "event_type", "value")
 
 
+@query(
+    "WITH s AS (SELECT event_type, count(*) AS runs, avg(value) AS mean, round(min(value), 6) AS min, round(max(value), 6) AS max FROM events WHERE value IS NOT NULL GROUP BY event_type), "
+    "m AS (SELECT event_type, max(CASE WHEN k = n // 2 + 1 THEN value END) AS median FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, "
+    "count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) GROUP BY event_type) "
+    "SELECT event_type, runs, round(mean, 6) AS mean, round(median, 6) AS median, min, max, round((SELECT mean FROM s WHERE event_type = 'view') / mean, 6) AS speed_up FROM s JOIN m USING (event_type)"
+)
+def latency_speed_up(spark, sf_dir):
+    """Latency of each kind, and how much faster than the baseline kind it is on average."""
+    return metrics.latency_stats(table(spark, sf_dir, "events"), "event_type", "value", baseline="view")
+
+
+@query(
+    f"WITH {DETECTIONS}, runs AS (SELECT CAST(576 - 64 * (event_id % 4) AS INTEGER) AS resolution, avg(value) AS mean, count(*) AS runs FROM events WHERE value IS NOT NULL GROUP BY 1), "
+    "seen AS (SELECT CAST(576 - 64 * (detection_id % 4) AS INTEGER) AS resolution, count(*) AS n, avg(confidence) AS c FROM detections WHERE class_name = 'person' AND confidence >= 0.5 GROUP BY 1) "
+    "SELECT resolution, runs, round(mean, 6) AS mean_ms, round(coalesce(n, 0) / runs, 6) AS persons, round(coalesce(c, 0), 6) AS confidence, "
+    "round((SELECT mean FROM runs WHERE resolution = 576) / mean, 6) AS speed_up FROM runs LEFT JOIN seen USING (resolution)"
+)
+def resolution_study(spark, sf_dir):
+    """Four input resolutions: latency, persons found, confidence and speed-up over the largest."""
+    of = lambda i: (576 - 64 * (F.col(i) % 4)).cast("int").alias("resolution")
+    runs = table(spark, sf_dir, "events").where("value IS NOT NULL").select(of("event_id"), F.col("value").alias("ms"))
+    seen = boxes.persons(detections(spark, sf_dir)).select(of("detection_id"), "confidence")
+    return metrics.resolution_study(runs, seen, 576)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused search over both signals."""
     return fusion_search(spark, sf_dir)

@@ -10,24 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where none is set (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a local folder only in local mode, where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), f"likeness-{spark.sparkContext.applicationId}")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: a lost executor costs nothing."""
+    """Write ``df`` as a table in the shared folder and read it back: a lost executor costs nothing.
+
+    The table is deleted when the driver's JVM ends, if ``drop_stored`` has not done so before.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    forget_later(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._likeness_path = path
     return out
 
 
+def forget_later(spark: SparkSession, path: str) -> None:
+    """Have a path deleted when the driver's JVM ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete a table of ``stored`` that nothing reads any more."""
     spark = df.sparkSession

@@ -9,7 +9,6 @@ import __spark_entry__ as entry
 from likeness.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"tuning_best", "hdbscan_sweep", "hdbscan", "kmeans_ml", "dbscan_sweep", "cluster_compare"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 
@@ -28,7 +27,7 @@ def plain(frame, columns):
     return sorted(str([value(x) for x in r]) for r in rows)
 
 
-@pytest.mark.parametrize("name", [n for n in catalogue.ORACLES if n not in SLOW])
+@pytest.mark.parametrize("name", list(catalogue.ORACLES))
 def test_query_matches_sql(spark, con, name):
     got, want = entry.queries()[name](spark, DATA).toPandas(), con.sql(entry.oracle_sql()[name]).df()
     columns = sorted(got.columns)
