@@ -8,7 +8,10 @@ a run, kept as a hash of the bytes that its strings cover:
 * an anchor gram that occurs once in the corpus has no repeated string;
 * a run whose bytes occur twice is repeated as a whole, however many copies there are;
 * groups with different runs are searched by threshold-bounded interval expansion on a
-  Burrows-Wheeler transform of the runs' bytes (``bwt_intervals``), a few whole groups at a time;
+  Burrows-Wheeler transform of the runs' bytes (``bwt_intervals``), a few whole groups at a time. A
+  string reaches from the anchor over at least half of the rest to one side, so a run that has neither
+  half-length side in common with another run of its group cannot share a string and is left out, and
+  of one that has one side in common the other side is cut to less than that;
 * groups with more distinct runs than one task should hold are counted by blocks of starts, down to
   single strings (place and two 64-bit hashes), which spreads over tasks and is as exact.
 
@@ -20,6 +23,7 @@ gives no rows. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -202,15 +206,29 @@ def _ranges(mask: np.ndarray) -> list[int]:
 def _expanded(threshold: int):
     """mapInArrow function over runs sorted by anchor: places repeated among a group's distinct runs."""
 
+    half = (threshold - GRAM + 1) // 2
+
+    def common(keys, strings):
+        """(key, first byte, bytes) of the parts of runs that may share a string with another run of the group."""
+        sides = [((k[0], 0, s[k[3] - half : k[3]] if k[3] >= half else None), (k[0], 1, s[k[3] + GRAM : k[3] + GRAM + half] if len(s) >= k[3] + GRAM + half else None)) for k, s in zip(keys, strings, strict=True)]
+        held = Counter(side for both in sides for side in both if side[2] is not None)
+        for key, s, (left, right) in zip(keys, strings, sides, strict=True):
+            has_left, has_right = held[left] > 1, held[right] > 1
+            low = 0 if has_left else max(0, key[3] - half + 1)
+            high = len(s) if has_right else min(len(s), key[3] + GRAM + half - 1)
+            if (has_left or has_right) and high - low >= threshold:
+                yield key, low, s[low:high]
+
     def search(keys, strings):
-        mask = repeated_starts(strings, threshold)
+        parts = list(common(keys, strings))
+        mask = repeated_starts([s for *_, s in parts], threshold) if parts else None
         at, found, ranges = 0, [], []
-        for key, s in zip(keys, strings, strict=True):
+        for key, low, s in parts:
             r = _ranges(mask[at : at + len(s) - threshold + 1])
             at += len(s) + 1
             if r:
                 found.append(key)
-                ranges.append(r)
+                ranges.append([low + x for x in r])
         return _range_batch(found, ranges)
 
     def run(batches):
