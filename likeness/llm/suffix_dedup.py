@@ -295,13 +295,15 @@ def _large_groups(runs: DataFrame, threshold: int) -> DataFrame:
     for width in WIDTHS:
         pieces = stored(parts.select(*KEY, "at", "bytes").mapInArrow(_split(threshold, width), PIECE_ROWS), "substring-blocks")
         forms = stored(pieces.groupBy("anchor", "block", "core", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(*KEY[1:], "at")).alias("row")), "substring-forms")
-        same = forms.where("n > 1").select("anchor", "block", "h1", "h2")
+        # stored, so that adaptive execution can split the blocks of a hot anchor
+        same = stored(forms.where("n > 1").select("anchor", "block", "h1", "h2"), "substring-same")
         hit = pieces.join(same, ["anchor", "block", "h1", "h2"])
         hit = hit.select(*KEY, F.array(F.col("at"), F.col("at") + F.length("bytes") - threshold).alias("ranges"))
         out = hit if out is None else out.unionByName(hit)
         if width == 1:
             break
         several = forms.groupBy("anchor", "block", "core").agg(F.count("*").alias("forms")).where("forms > 1").select("anchor", "block", "core")
+        several = stored(several, "substring-several")
         # one part of each form goes on; parts of a form with copies have their answer already
         left = forms.join(several, ["anchor", "block", "core"]).select("anchor", "row.*")
         parts = pieces.select(*KEY, "at", "bytes").join(left, [*KEY, "at"])
@@ -339,29 +341,69 @@ def _cover(n: int, places: list, threshold: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def substring_dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    ship(docs.sparkSession)
+def _spans(n: int, places: list | None, threshold: int) -> np.ndarray:
+    """Begin and end of each maximal stretch of n bytes that goes."""
+    change = np.diff(np.concatenate([[0], _cover(n, places, threshold).astype(np.int8), [0]])) if places else np.zeros(0)
+    return np.stack([np.flatnonzero(change == 1), np.flatnonzero(change == -1)], 1)
+
+
+def _without(raw: bytes, spans: np.ndarray) -> bytes:
+    ends = [0, *spans[:, 1].tolist()]
+    return b"".join(raw[a:b] for a, b in zip(ends, [*spans[:, 0].tolist(), len(raw)], strict=True))
+
+
+def _places(docs: DataFrame, threshold: int) -> DataFrame:
+    """id_key, text_hash, places (starts and ranges of repeated runs) of the rows that have any."""
     runs, found = repeated_ranges(docs, threshold)
-    hits = runs.join(found, KEY).groupBy("id_key", "text_hash").agg(F.collect_list(F.struct("starts", "ranges")).alias("places"))
-    rows = _texts(docs).join(hits, ["id_key", "text_hash"], "left").select("doc_id", "text", "places")
+    return runs.join(found, KEY).groupBy("id_key", "text_hash").agg(F.collect_list(F.struct("starts", "ranges")).alias("places"))
+
+
+def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_bytes, spans (begin and end byte of each removed stretch, in order), kept_sha256 of every row."""
+    ship(docs.sparkSession)
+    rows = _texts(docs).join(_places(docs, threshold), ["id_key", "text_hash"], "left").select("doc_id", "text", "places")
 
     def run(batches):
         for batch, texts in text_slices(batches):
-            out = [[] for _ in range(4)]
+            sizes, spans, sha = [], [], []
             for text, places in zip(texts, batch.column("places").to_pylist(), strict=True):
                 raw = text.encode()
-                if places:
-                    gone = _cover(len(raw), places, threshold)
-                    kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                    spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
-                else:
-                    kept, spans = raw, 0
-                for column, value in zip(out, (len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest()), strict=True):
-                    column.append(value)
+                gone = _spans(len(raw), places, threshold)
+                sizes.append(len(raw))
+                spans.append([{"begin": a, "end": b} for a, b in gone.tolist()])
+                sha.append(hashlib.sha256(_without(raw, gone)).hexdigest())
+            kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(sha, pa.string())],
+                names=["doc_id", "n_bytes", "spans", "kept_sha256"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<begin: long, end: long>>, kept_sha256 string")
+
+
+def substring_dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans of every row."""
+    size = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return repeated_spans(docs, threshold).select("doc_id", "n_bytes", size.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "spans")
+
+
+def drop_repeated_substrings(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """``docs`` without the bytes that go in ``text``; a character that a span cuts goes as a whole."""
+    ship(docs.sparkSession)
+    text = text_of(docs)
+    whole = docs.select(F.struct("*").alias("row"), F.coalesce(doc_id_of(docs), F.lit(_NULL_ID)).alias("id_key"), F.xxhash64(text).alias("text_hash"))
+    name = "_" * max(len(c) for c in docs.columns) + "places"  # no column of ``docs`` has it
+    rows = whole.join(_places(docs, threshold), ["id_key", "text_hash"], "left").select("row.*", F.col("places").alias(name))
+    k = docs.columns.index("text")
+
+    def run(batches):
+        for batch, texts in text_slices(batches, column=k):
+            kept = batch.column(k).to_pylist()
+            for i, places in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if places:
+                    raw = texts[i].encode()
+                    kept[i] = _without(raw, _spans(len(raw), places, threshold)).decode(errors="ignore")
+            columns = [pa.array(kept, pa.string()) if c == k else batch.column(c) for c in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return rows.mapInArrow(run, docs.schema)
