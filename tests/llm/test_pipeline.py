@@ -21,6 +21,17 @@ def test_stages(spark):
     assert packed.select("doc_id").distinct().count() == seen
 
 
+def test_stages_on_edge_cases_and_no_rows(spark, edge_docs, no_docs):
+    for docs in (edge_docs, no_docs):
+        whole = docs.withColumn("row", docs["label"])
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = corpus_pipeline.stored(stage(spark, whole, DATA), name)
+            assert after.schema == whole.schema and after.count() <= whole.count()
+            whole = after
+        packed = corpus_pipeline.STAGES[-1][1](spark, whole, DATA)
+        assert packed.where("piece = 0").count() == whole.count()
+
+
 @pytest.mark.parametrize("name", ["op1_line_dedup", "op4_license_scan"])
 def test_sql(spark, name):
     con = duckdb.connect()

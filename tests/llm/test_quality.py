@@ -66,6 +66,26 @@ def test_rules_on_edge_cases(edge_docs, no_docs, labels):
     assert quality_rules(edge_docs, labels.limit(0)).where("kept = base_failed").count() == 0
 
 
+def test_rules_through_the_query_match_brute_force(spark, edge_docs, labels):
+    """Counts, the base rule with its share of repeated words, and the trees' verdict beside it."""
+    rng = random.Random(17)
+    eight = " ".join(f"r{i}" for i in range(8))
+    texts = [" ".join([eight] * k + [f"u{k}{j}" for j in range(n)]) for k in range(5) for n in (0, 3, 19, 20, 25, 37, 38, 60)]
+    texts += ["\n".join(" ".join(rng.choice(["aa", "b#", "c"]) for _ in range(9)) for _ in range(rng.randint(1, 12))) for _ in range(40)]
+    docs = edge_docs.select("doc_id", "text").unionByName(spark.createDataFrame([(500 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    known = labels.select("doc_id", "quality").unionByName(spark.createDataFrame([(500 + i, i % 2) for i in range(len(texts))], "doc_id long, quality long"))
+    rows = quality_rules(docs, known).collect()
+    want = []
+    for d in docs.collect():
+        counts = brute_statistics(d.text or "")
+        want.append(str((d.doc_id, *counts, counts[0] < 20 or 100 * counts[4] > 30 * counts[0])))
+    assert sorted(str((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)) for r in rows) == sorted(want)
+    assert {r.base_failed for r in rows if r.n_words >= 20} == {True, False}
+    assert all(r.kept == (not r.base_failed and r.score >= 0.5) for r in rows)
+    again = {(r.doc_id, r.n_words): r.score for r in quality_rules(docs.repartition(5), known).collect()}
+    assert all(again[r.doc_id, r.n_words] == r.score for r in rows)
+
+
 def test_classifier_learns_and_handles_edges(spark, edge_docs, no_docs, labels):
     texts, y = sample(500, 3)
     model = fit(texts[:400], y[:400], steps=300)

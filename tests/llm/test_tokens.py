@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -110,8 +110,57 @@ def test_packing(edge_docs, no_docs, machines):
     assert best_fit_packing(no_docs).count() == 0
 
 
+def test_packing_of_full_sequences(spark, machines):
+    """At 4096 tokens: sequences are gapless, and few more than any packing needs."""
+    rng = random.Random(9)
+    rows = [(i, " ".join("word" for _ in range(int(rng.paretovariate(0.9) * 90) % 11_000))) for i in range(900)]
+    pieces = best_fit_packing(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), capacity=4096).collect()
+    held = defaultdict(list)
+    for r in pieces:
+        held[r.sequence_id].append((r.offset, r.length))
+    for places in held.values():
+        ends = [0, *(a + n for a, n in sorted(places))]
+        assert [a for a, _ in sorted(places)] == ends[:-1] and ends[-1] <= 4096
+    lengths = Counter()
+    for r in pieces:
+        lengths[r.doc_id] += r.length
+    assert lengths == {i: len(t.split()) + 1 for i, t in rows}
+    total = sum(lengths.values())
+    large = sum(r.length > 2048 for r in pieces)  # no two of them share a sequence
+    assert len(held) <= 1.03 * max(-(-total // 4096), large) + 1
+
+
+def test_token_files_can_be_read_in_part(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rng = random.Random(10)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randint(0, 300)}" for _ in range(rng.randint(0, 400)))) for i in range(4000)], "doc_id long, text string")
+    path = str(tmp_path / "ids")
+    write_token_files(docs, path)
+    files = [p for p in (tmp_path / "ids").iterdir() if p.name.endswith(".parquet")]
+    every, ids_bytes = 0, 0
+    for p in files:
+        meta = pq.ParquetFile(p).metadata
+        for g in range(meta.num_row_groups):
+            for c in range(meta.num_columns):
+                column = meta.row_group(g).column(c)
+                assert column.has_offset_index and column.has_column_index
+                if column.path_in_schema.startswith("ids"):
+                    assert {"RLE_DICTIONARY", "PLAIN_DICTIONARY"} & set(column.encodings)
+                    ids_bytes += column.total_compressed_size
+                every += column.total_compressed_size
+    assert files and ids_bytes > 0.5 * every
+    index = token_index(spark, path)
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in plan.split("ReadSchema:")[1].split("\n")[0]  # the ids are not read
+    few = spark.read.parquet(path).where("doc_id BETWEEN 100 AND 104").select("doc_id", "ids")
+    assert few.count() == 5 and "PushedFilters: [IsNotNull(doc_id)" in few._jdf.queryExecution().executedPlan().toString()
+
+
 def test_online_best_fit_closes_the_fullest():
     p = OnlineBestFit(10, open_bins=2)
     assert [p.add(n) for n in (6, 7, 9)] == [(0, 0), (1, 0), (2, 0)]  # bin 1 was the fullest and closed
     assert p.add(4) == (0, 6) and p.add(1) == (2, 9)
     assert p.open_bins() == set()
+    p = OnlineBestFit(10, open_bins=2)
+    assert [p.add(n) for n in (6, 7, 10, 3, 4)] == [(0, 0), (1, 0), (2, 0), (1, 7), (0, 6)]  # a full sequence closes none
