@@ -1,6 +1,7 @@
 """Token ids in Parquet files: ordered rows, list columns, dictionary encoding, page indexes.
 
-Documents are ordered by (doc_id, text), null ids first, over a range-partitioned set of files.
+Documents are ordered by doc_id, null ids first, and those of one id by a hash of the text, over a
+range-partitioned set of files; the hash lets the rows of an id, or those without one, go to many files.
 Each row holds the document's place in its file part and its ids as a list. Dictionary-encoded ids
 take two bytes at most before compression; row groups and pages are small enough that the page
 index lets a reader fetch the metadata columns, or the ids of a few documents, alone.
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import doc_id_of, parallelism, shared_dir, ship, text_of, text_slices
+from ._common import doc_id_of, forget_later, parallelism, shared_dir, ship, text_of, text_slices
 from .bpe import Encoder, loaded, vocabulary_path
 
 ROW_GROUP_BYTES = 32 << 20
@@ -57,7 +58,8 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1, vocabulary: s
             start += int(done[-1])
 
     rows = docs.select(doc_id_of(docs).alias("doc_id"), text_of(docs).alias("text"))
-    ordered = rows.repartitionByRange(parallelism(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(parallelism(docs.sparkSession), "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "text")
     (
         ordered.mapInArrow(run, FILE)
         .write.option("compression", "zstd")
@@ -115,8 +117,10 @@ def checksums(tokens: DataFrame) -> DataFrame:
 
 
 def token_id_round_trip(docs: DataFrame, end_id: int = 1, vocabulary: str | None = None, path: str | None = None) -> DataFrame:
-    """Write the token files and return what reading them back shows."""
+    """Write the token files and return what reading them back shows; without ``path`` they go with the driver."""
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    if path is None:
+        path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+        forget_later(spark, path)
     write_token_files(docs, path, end_id, vocabulary)
     return checksums(read_tokens(spark, path))

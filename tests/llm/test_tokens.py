@@ -71,13 +71,13 @@ def test_small_caches_start_anew(machines):
 
 def test_counts_and_files(spark, edge_docs, no_docs, machines, tmp_path):
     library = machines[0].library
-    docs = edge_docs.collect()
+    docs = edge_docs.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) AS hash").collect()
     got = token_counts(edge_docs, limit=2048).collect()
     want = sorted((str(r.doc_id), len((r.text or "").encode()), len(library.encode(r.text or "", add_special_tokens=False).ids)) for r in docs)
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in got) == want
     assert all(r.over_limit == (r.n_tokens > 2048) for r in got)
     assert token_counts(no_docs).count() == 0
-    order = sorted(docs, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
+    order = sorted(docs, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.hash))
     ids = [np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4") for r in order]
     starts = np.cumsum([0, *map(len, ids)])
     got = token_id_round_trip(edge_docs).orderBy("start").collect()
