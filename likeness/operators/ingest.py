@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,7 +46,7 @@ def first_per_group(rows: DataFrame, group: str, order: str, n: int) -> DataFram
 
 def sample_then_filter(rows: DataFrame, key: str, n: int, keep, seed: int = 42) -> DataFrame:
     """n rows drawn by a seeded hash of the key, then those that ``keep`` lets through (fewer than n)."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n).where(keep)
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n).where(keep)
 
 
 def best_face(faces: DataFrame, group: str, threshold: float) -> DataFrame:
@@ -64,17 +65,21 @@ FaceDetector = Callable[[bytes], list[dict]]
 #: Size (rows, columns), mean and deviation that the body encoder's input has.
 INPUT_SIZE, INPUT_MEAN, INPUT_DEVIATION = (256, 128), 0.5, 0.5
 
+#: Binary PPM of one byte a colour: one white space character stands before the pixels, whatever these are.
+PPM_HEAD = rb"P6(?:\s+#[^\n]*(?=\n))*\s+(\d+)\s+(\d+)\s+255\s"
+
 
 def decoded(content: bytes) -> np.ndarray:
     """(rows, columns, 3) bytes of an image; an unreadable one raises ValueError.
 
     Binary PPM is read here, all else by Pillow where it is installed.
     """
-    parts = content.split(maxsplit=4)
-    if content[:2] == b"P6" and len(parts) == 5 and all(p.isdigit() for p in parts[1:4]):
-        width, height = int(parts[1]), int(parts[2])
-        if int(parts[3]) == 255 and len(content) >= 3 * width * height:
-            return np.frombuffer(content[-3 * width * height :], np.uint8).reshape(height, width, 3)
+    head = re.match(PPM_HEAD, content)
+    if head:
+        width, height = int(head[1]), int(head[2])
+        pixels = content[head.end() : head.end() + 3 * width * height]
+        if len(pixels) == 3 * width * height:
+            return np.frombuffer(pixels, np.uint8).reshape(height, width, 3)
     try:
         import io
 

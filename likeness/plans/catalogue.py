@@ -506,14 +506,18 @@ def _experiments(spark, sf_dir):
     return metrics.quality_by(stored(dbscan_sweep(spark, sf_dir), "sweep").join(p, "point_id"))
 
 
-def _best_sql() -> str:
+def experiments_sql(select: str) -> str:
+    """``select`` from r, the quality of each experiment of the sweep."""
     ctes = ", ".join(_dbscan(e, m, str(n)) for n, (e, m) in enumerate(SWEEP))
     kept = ", ".join(f"kept{n} AS (SELECT * FROM labels{n} WHERE cluster_id <> -1)" for n in range(len(SWEEP)))
     rows = " UNION ALL ".join(
         f"SELECT CAST({n} AS INTEGER) AS experiment, ({PURITY.format(f'kept{n}')}) AS purity, ({_ari(f'labels{n}')}) AS ari, ({_nmi(f'labels{n}')}) AS nmi" for n in range(len(SWEEP))
     )
-    best = " UNION ALL ".join(f"SELECT * FROM (SELECT '{m}' AS metric, experiment, {m} AS value FROM r ORDER BY {m} DESC, experiment LIMIT 1)" for m in ("ari", "nmi", "purity"))
-    return f"WITH RECURSIVE {POINTS}, {ctes}, {kept}, r AS ({rows}) {best}"
+    return f"WITH RECURSIVE {POINTS}, {ctes}, {kept}, r AS ({rows}) {select}"
+
+
+def _best_sql() -> str:
+    return experiments_sql(" UNION ALL ".join(f"SELECT * FROM (SELECT '{m}' AS metric, experiment, {m} AS value FROM r ORDER BY {m} DESC, experiment LIMIT 1)" for m in ("ari", "nmi", "purity")))
 
 
 @query(_best_sql())
@@ -614,7 +618,9 @@ def sample_per_camera(spark, sf_dir):
     return ingest.first_per_group(points(spark, sf_dir).select("camera_id", "filename"), "camera_id", "filename", 3)
 
 
-@query()
+@query(
+    f"WITH {POINTS} SELECT filename, market_id FROM (SELECT filename, market_id FROM points ORDER BY md5('42:' || filename), filename LIMIT 2000) WHERE market_id > 0"
+)
 def sample_then_filter(spark, sf_dir):
     rows = points(spark, sf_dir).select("filename", "market_id")
     return ingest.sample_then_filter(rows, "filename", 2000, F.col("market_id") > 0)

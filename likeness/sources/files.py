@@ -21,13 +21,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def json_documents(spark: SparkSession, path: str, schema: StructType | str | None = None, required: bool = True) -> DataFrame | None:
-    """Whole-file JSON documents; a missing file raises if required, else gives None."""
+def json_documents(spark: SparkSession, path: str, schema: StructType | str | None = None, required: bool = True, lines: bool = False) -> DataFrame | None:
+    """JSON documents, a whole file or a line each; a missing file raises if required, else gives None."""
     if not exists(spark, path):
         if required:
             raise FileNotFoundError(path)
         return None
-    reader = spark.read.option("multiLine", "true")
+    reader = spark.read.option("multiLine", str(not lines).lower())
     return (reader.schema(schema) if schema else reader).json(path)
 
 

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from likeness.plans import catalogue
+from likeness.plans import catalogue, storage_catalogue  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 

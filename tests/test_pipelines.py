@@ -170,3 +170,11 @@ def test_metric_fallback_and_tiles(spark, people):
     assert many.count() == 30 and many.select("point_id").distinct().count() == 30
     assert search.top_k(many, [1.0, 0.0, 0.0], "reid", 3).select(F.max("rank")).first()[0] == 3
     assert documents.sizes_map(people.select(F.col("market_id").alias("cluster_id"))).first()[0] == {"1": 4, "2": 4, "3": 4}
+
+
+def test_images_whose_pixels_are_white_space_or_whose_head_has_a_comment():
+    for pixels in (b" " * 12, b"\n" * 12, b"\x00 \n" * 4):
+        assert ingest.decoded(b"P6\n2 2\n255\n" + pixels).tobytes() == pixels
+    assert ingest.decoded(b"P6\n# made by hand\n1 1\n255\nabc").shape == (1, 1, 3)
+    with pytest.raises(ValueError):
+        ingest.decoded(b"P6\n2 2\n255\n" + b"x" * 11)
