@@ -30,7 +30,7 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column) -> np.ndarray:
-    return np.array([np.asarray(v, float) for v in column], float).reshape(len(column), -1)
+    return np.array([np.asarray(v, float) for v in column], float).reshape(len(column), -1 if len(column) else 1)
 
 
 def pairwise(queries: DataFrame, candidates: DataFrame, kernel: Kernel, schema: str, unit: bool = True, once: bool = False) -> DataFrame:
@@ -70,6 +70,7 @@ def pairwise(queries: DataFrame, candidates: DataFrame, kernel: Kernel, schema:
     both = left.select("q", "c", "side", "id", "vector").unionByName(right.select("q", "c", "side", "id", "vector"))
 
     def pair(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id")  # as the broadcast matrix is, so that kernels may settle ties by place
         a, b = frame[frame["side"] == 0], frame[frame["side"] == 1]
         if not len(a) or not len(b):
             return kernel(*[np.zeros(0, np.int64), np.zeros((0, 1))] * 2)
