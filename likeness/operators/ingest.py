@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import require_dimension
 from ..session import ship
+from ..storage import shared_dir
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "point_id", version: str | None = None) -> DataFrame:
@@ -215,13 +216,17 @@ def write_points(points: DataFrame, path: str, reset: bool, signal: str = "reid"
 def write_crops(crops: DataFrame, folder: str) -> None:
     """Write (crop_name, crop) rows as files of a folder on a file system that pyarrow opens by its address.
 
-    A folder without a scheme, or of the scheme file, is a machine's own and is taken in local mode only.
+    A folder without a scheme, or of the scheme file, is a machine's own unless it lies below the shared
+    folder; others are taken in local mode only.
     """
-    sc = crops.sparkSession.sparkContext
+    spark = crops.sparkSession
+    local = lambda path: os.path.abspath(path.removeprefix("file://").removeprefix("file:"))
     own = folder.startswith("file:") or "://" not in folder
-    if own and not sc.master.startswith("local"):
-        raise ValueError(f"{folder} is not shared by the executors")
-    address = "file://" + os.path.abspath(folder.removeprefix("file://").removeprefix("file:")) if own else folder
+    if own and not spark.sparkContext.master.startswith("local"):
+        shared = shared_dir(spark)
+        if not (shared.startswith("file:") or "://" not in shared) or os.path.commonpath([local(shared), local(folder)]) != local(shared):
+            raise ValueError(f"{folder} is not shared by the executors")
+    address = "file://" + local(folder) if own else folder
 
     def save(rows) -> None:
         from pyarrow import fs

@@ -178,3 +178,18 @@ def test_images_whose_pixels_are_white_space_or_whose_head_has_a_comment():
     assert ingest.decoded(b"P6\n# made by hand\n1 1\n255\nabc").shape == (1, 1, 3)
     with pytest.raises(ValueError):
         ingest.decoded(b"P6\n2 2\n255\n" + b"x" * 11)
+
+
+def test_crops_go_to_the_shared_folder_on_a_cluster(spark, tmp_path, monkeypatch):
+    from likeness.storage import shared_dir
+
+    crops = spark.createDataFrame([("a.jpg", b"\1\2")], "crop_name string, crop binary")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    for k, prefix in enumerate(("", "file:", "file://")):
+        folder = f"{shared_dir(spark)}/crops-{k}"
+        ingest.write_crops(crops, prefix + folder)
+        with open(f"{folder}/a.jpg", "rb") as f:
+            assert f.read() == b"\1\2"
+    for other in (str(tmp_path / "own"), f"{shared_dir(spark)}/../own", f"{shared_dir(spark)}-2"):
+        with pytest.raises(ValueError, match="not shared"):
+            ingest.write_crops(crops, other)
