@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.names import base_name, stable_point_id
 from ..operators import clustering, documents, ingest, metrics, search
 from ..sources.files import images
-from ..storage import stored
+from ..storage import stored, tidy
 
 
 def build_points(
@@ -73,9 +73,10 @@ def cluster_all(points: DataFrame, methods: dict[str, dict], folder: str) -> Dat
         labels.write.mode("overwrite").parquet(f"{folder}/{name}/labels")
         documents.cluster_document(documents.cluster_members(labels, points)).write.mode("overwrite").json(f"{folder}/{name}/clusters")
         documents.cluster_summary(labels, name).write.mode("overwrite").json(f"{folder}/{name}/summary")
-        row = metrics.evaluate(labels.join(who, "point_id")).select(F.lit(name).alias("algorithm"), "*", F.round(F.lit(seconds), 3).alias("time_seconds"))
+        row = stored(metrics.evaluate(labels.join(who, "point_id")).select(F.lit(name).alias("algorithm"), "*", F.round(F.lit(seconds), 3).alias("time_seconds")), "quality")
         ingest.save_experiment(row.drop("algorithm"), f"{folder}/experiments", name)
         out = row if out is None else out.unionByName(row)
+        tidy(points.sparkSession)
     return out
 
 
