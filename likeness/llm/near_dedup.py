@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ._common import doc_id_of, parallelism, ship, stored, text_of, text_slices
+from ._common import doc_id_of, ease, parallelism, ship, stored, text_of, text_slices
 from .dart_minhash import band_keys, cells, jaccard, shingles, signatures
 
 SIMILARITY = 0.8
@@ -128,7 +128,9 @@ def _pivot_links(pairs: DataFrame, texts: DataFrame, similarity: float, weighted
     own, other = _named(classes, "vertex", "a"), _named(classes, "pivot", "b")
     left = pairs.join(best.withColumnRenamed("pivot", "best"), "vertex").where(F.col("pivot") != F.col("best")).select("pivot", "vertex")
     left = left.join(own, "vertex", "left").join(other, "pivot", "left").where(F.coalesce("a", "vertex") != F.coalesce("b", "pivot"))
-    more = _verified(stored(left.select("pivot", "vertex"), "near-pairs"), texts, similarity, weighted)
+    left = stored(left.select("pivot", "vertex"), "near-pairs")
+    ease(pairs.sparkSession)
+    more = _verified(left, texts, similarity, weighted)
     # the classes so far stand for their links
     return stored(classes.where("vertex <> component").select(F.col("component").alias("pivot"), "vertex").unionByName(more), "near-links")
 
@@ -220,15 +222,18 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, weig
     vertices = sketches.where("vertex IS NOT NULL").groupBy("vertex").agg(F.first("bands").alias("bands"), F.min(F.struct("id_key", "text_hash", "bytes")).alias("row"))
     pairs, rest = _pivot_pairs(vertices.select("vertex", F.col("row.bytes").alias("bytes"), F.explode("bands").alias("key")))
     pairs = stored(pairs, "near-pairs")
+    ease(docs.sparkSession)
     wanted = pairs.select("vertex").unionByName(pairs.select(F.col("pivot").alias("vertex"))).distinct()
     wanted = wanted.join(vertices.select("vertex", "row.id_key", "row.text_hash"), "vertex")
     # copies of one row would give its vertex more than once
     texts = stored(_identified(docs).select("id_key", "text_hash", "text").join(wanted, ["id_key", "text_hash"]).dropDuplicates(["id_key", "text_hash"]).select("vertex", "text"), "near-texts")
+    ease(docs.sparkSession)
     links = _pivot_links(pairs, texts, similarity, weighted)
     classes = components(links, "pivot", "vertex", small=0)
     buckets = stored(_open_buckets(rest, classes), "near-open")
     if not buckets.isEmpty():
         more = stored(_block_links(buckets, texts, similarity, weighted), "near-links")
+        ease(docs.sparkSession)
         if not more.isEmpty():
             classes = components(links.unionByName(more), "pivot", "vertex", small=0)
     rows = sketches.select("doc_id", "id_key", "text_hash", "row_no", "vertex")

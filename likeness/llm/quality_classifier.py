@@ -25,7 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import doc_id_of, drop_stored, ship, stored, text_of, text_slices
+from ._common import doc_id_of, drop_stored, ship, stored, text_of, text_slices, tidy
 from .words import IntTable, joined, mix, span_hashes, texts_of, word_spans
 
 #: Labelled documents that the model is fitted on, at most.
@@ -245,7 +245,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING_ROWS) ->
     lists = parts["parts"].combine_chunks()
     sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = lists.flatten().to_numpy(zero_copy_only=False)
-    return fit_words(words, documents["quality"].to_numpy(), parts["key"].to_numpy(), flat, sizes)
+    tidy(docs.sparkSession)
+    model = fit_words(words, documents["quality"].to_numpy(), parts["key"].to_numpy(), flat, sizes)
+    del words, documents, parts, lists, sizes, flat
+    tidy(docs.sparkSession)
+    return model
 
 
 def _counted_rows(batches):
